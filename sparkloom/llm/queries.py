@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import quality_knn, toxicity
+import public_tokenizers
+
+from sparkloom.llm import quality_knn, quality_rules, token_counts, toxicity
 from sparkloom.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +18,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op10_quality_knn)}
+    return {f.__name__: f for f in (op1_toxicity, op7_token_counts, op9_quality_rules, op10_quality_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
