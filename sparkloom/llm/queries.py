@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from sparkloom.llm import quality_knn, quality_rules, token_counts, toxicity, warc
+from sparkloom.llm import mixing, quality_knn, quality_rules, token_counts, toxicity, warc
 from sparkloom.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op5_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,7 +40,7 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op5_warc_histories, op7_token_counts, op9_quality_rules, op10_quality_knn)}
+    return {f.__name__: f for f in (op1_toxicity, op5_warc_histories, op6_source_mix, op7_token_counts, op9_quality_rules, op10_quality_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
