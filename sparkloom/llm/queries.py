@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from sparkloom.llm import mixing, quality_knn, quality_rules, token_counts, toxicity, warc
+from sparkloom.llm import mixing, quality_knn, quality_rules, token_counts, toxicity, url_filter, warc
 from sparkloom.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op5_warc_histories, op6_source_mix, op7_token_counts, op9_quality_rules, op10_quality_knn)}
+    return {f.__name__: f for f in (op1_toxicity, op5_warc_histories, op6_source_mix, op7_token_counts, op8_url_filter, op9_quality_rules, op10_quality_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
