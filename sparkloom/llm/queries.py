@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from sparkloom.llm import mixing, quality_knn, quality_rules, token_counts, toxicity, url_filter, warc
+from sparkloom.llm import decontamination, mixing, quality_knn, quality_rules, token_counts, toxicity, url_filter, warc
 from sparkloom.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_histories(read_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
@@ -44,8 +48,22 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op5_warc_histories, op6_source_mix, op7_token_counts, op8_url_filter, op9_quality_rules, op10_quality_knn)}
+    return {f.__name__: f for f in (op1_toxicity, op4_decontamination, op5_warc_histories, op6_source_mix, op7_token_counts, op8_url_filter, op9_quality_rules, op10_quality_knn)}
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS win FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT rid, i, n, list_slice(w, i, i + n - 1) AS win FROM (SELECT rid, w, k.n, unnest(range(1, len(w) - k.n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) k WHERE len(w) >= k.n)),
+h AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win),
+marked AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM h)) GROUP BY rid),
+got AS (SELECT rid, list_sort(list(DISTINCT item_id)) AS items FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+ sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (rid) LEFT JOIN got USING (rid)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}
