@@ -177,18 +177,18 @@ def _binary_matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 def signed(docs: DataFrame, p: Parameters) -> DataFrame:
-    """(doc_id, tid, sig) of every document; sig and tid are null where there are no words."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("tid", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    """(doc_id, th, tid, sig) of every document; th is the text's own hash, sig and tid are null where there are no words."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("tid", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.sliced(batches, "text"):
-            value, ends, whole = shingles(*C.utf8_view(batch.column(1)), p.words)
+            value, ends, whole = shingles(*C.utf8_view(batch.column(2)), p.words)
             sig = minhashes(value, ends, p.values)
             none = np.diff(ends) == 0
             tid = [None if x else w.tobytes() for x, w in zip(none, whole, strict=True)]
             sigs = [None if x else s.tobytes() for x, s in zip(none, sig, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "tid", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tid, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "tid", "sig"])
 
     return rows.mapInArrow(run, schema)
 
@@ -340,8 +340,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def similarity_classes(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """(doc_id, class_id, n_links) of every document: links are other documents of similarity `threshold` or more."""
+def row_classes(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """(doc_id, th, root, class_id, n_links) of every document; root names the class, null for a text without words."""
     members = C.written(signed(docs, p), "signatures")
     texts = members.where("tid IS NOT NULL").groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("sig").alias("sig"))
     texts = C.written(texts, "texts")
@@ -353,7 +353,26 @@ def similarity_classes(docs: DataFrame, p: Parameters = Parameters()) -> DataFra
     named = texts.select("tid", "rep", "n_docs").join(sums, "tid", "left").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left")
     named = named.withColumn("root", F.coalesce("root", "tid"))
     names = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = named.join(names, "root").select("tid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    named = named.join(names, "root").select("tid", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
     # one text's copies may be a third of all rows: the names are one row for each text, so the join may split them
-    plain = members.where("tid IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return members.where("tid IS NOT NULL").select("doc_id", "tid").join(named, "tid").select("doc_id", "class_id", "n_links").unionByName(plain)
+    plain = members.where("tid IS NULL").select("doc_id", "th", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return members.where("tid IS NOT NULL").select("doc_id", "th", "tid").join(named, "tid").select("doc_id", "th", "root", "class_id", "n_links").unionByName(plain)
+
+
+def similarity_classes(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document: links are other documents of similarity `threshold` or more."""
+    return row_classes(docs, p).select("doc_id", "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """One document of each class, that of its least doc_id, and every text without words; columns as they came."""
+    rows = C.written(row_classes(docs, p), "classes")
+    first = rows.where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # rows of one doc_id may hold several texts of a class: that of the least hash stays
+    first = first.groupBy("root").agg(F.min(F.struct("th", "doc_id")).alias("r"), F.count("*").alias("k")).select("r.doc_id", "r.th", "k")
+    plain = rows.where("root IS NULL").select("doc_id", "th").distinct().withColumn("k", F.lit(1).cast("long"))
+    keep = first.unionByName(plain).alias("k")
+    got = docs.withColumn("_th", F.xxhash64("text")).alias("d").join(keep, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._th") == F.col("k.th")))
+    got = got.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("d._th").alias("_th"), F.col("k.k").alias("_k"))
+    again = got.where("_k > 1").dropDuplicates(["doc_id", "_th"])
+    return got.where("_k = 1").unionByName(again).drop("_th", "_k")

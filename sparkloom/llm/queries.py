@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from sparkloom.llm import decontamination, mixing, ngram_join, quality_knn, quality_rules, token_counts, toxicity, url_filter, warc
+from sparkloom.llm import decontamination, mixing, ngram_join, quality_knn, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, warc
 from sparkloom.llm._common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op4_decontamination, op5_warc_histories, op6_source_mix, op7_token_counts, op8_url_filter, op9_quality_rules, op10_quality_knn)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_suffix_dedup, op4_decontamination, op5_warc_histories, op6_source_mix, op7_token_counts, op8_url_filter, op9_quality_rules, op10_quality_knn)}
 
 
 OP4_SQL = r"""
