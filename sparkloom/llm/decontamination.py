@@ -156,5 +156,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, p: Parameters = Parameters())
     """The documents without any window of an item, with the columns they came with."""
     hits, _ = decontaminate(docs, items, p)
     doc = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
-    bad = hits.select("_doc").distinct()
-    return docs.withColumn("_doc", doc).join(bad, "_doc", "left_anti").drop("_doc")
+    name = C.free_name(docs, "_doc")
+    bad = hits.select(F.col("_doc").alias(name)).distinct()
+    return docs.withColumn(name, doc).join(bad, name, "left_anti").select(*docs.columns)

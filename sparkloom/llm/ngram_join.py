@@ -216,10 +216,11 @@ def active(members: DataFrame, texts: DataFrame, p: Parameters) -> DataFrame:
     """(leader, bi, bj, side, pos, tid, alive): texts with pairs that the posterior leaves, in each pair of blocks.
 
     alive is, for the first block's texts, a mask over the positions of the second."""
-    sizes = members.groupBy("leader").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > p.block)
     lists = members.groupBy("tid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))  # at most `bands` of a text
-    blocks = F.ceil(F.col("n") / p.block).cast("int")
-    rows = members.join(sizes, "leader").withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("tid"), F.col("nb")).cast("int"))
+    sizes = C.written(sizes, "large-groups")  # few: of the others nothing is looked up by leader
+    blocks = F.coalesce(F.ceil(F.col("n") / p.block), F.lit(1)).cast("int")
+    rows = members.join(sizes, "leader", "left").withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("tid"), F.col("nb")).cast("int"))
     rows = rows.join(lists, "tid").join(texts.select("tid", "sig"), "tid")
     # block b meets the blocks from itself on as the first of a pair, and those up to itself as the second
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj")))
@@ -371,8 +372,9 @@ def keep_one(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     # rows of one doc_id may hold several texts of a class: that of the least hash stays
     first = first.groupBy("root").agg(F.min(F.struct("th", "doc_id")).alias("r"), F.count("*").alias("k")).select("r.doc_id", "r.th", "k")
     plain = rows.where("root IS NULL").select("doc_id", "th").distinct().withColumn("k", F.lit(1).cast("long"))
-    keep = first.unionByName(plain).alias("k")
-    got = docs.withColumn("_th", F.xxhash64("text")).alias("d").join(keep, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._th") == F.col("k.th")))
-    got = got.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("d._th").alias("_th"), F.col("k.k").alias("_k"))
-    again = got.where("_k > 1").dropDuplicates(["doc_id", "_th"])
-    return got.where("_k = 1").unionByName(again).drop("_th", "_k")
+    th, k = C.free_name(docs, "_th"), C.free_name(docs, "_k")
+    keep = first.unionByName(plain).withColumnRenamed("k", k).alias("k")
+    got = docs.withColumn(th, F.xxhash64("text")).alias("d").join(keep, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{th}") == F.col("k.th")))
+    got = got.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col(f"d.{th}").alias(th), F.col(f"k.{k}").alias(k))
+    again = got.where(F.col(k) > 1).dropDuplicates(["doc_id", th])
+    return got.where(F.col(k) == 1).unionByName(again).drop(th, k)

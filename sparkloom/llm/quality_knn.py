@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm import _common as C
 
@@ -152,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters(), mod: i
     return train(terms[order], labels[order], p)
 
 
-def score(docs: DataFrame, model: Model | None, p: Parameters = Parameters(), keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id; texts may be among them) and score, for every row."""
+def score(docs: DataFrame, model: Model | None, p: Parameters = Parameters(), keep: list[str] | None = None, name: str = "_score") -> DataFrame:
+    """The columns `keep` (doc_id; texts may be among them) and the score, under `name`, for every row."""
     keep = keep or ["doc_id"]
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -164,11 +165,9 @@ def score(docs: DataFrame, model: Model | None, p: Parameters = Parameters(), ke
                 scores = np.ones(batch.num_rows)
             else:
                 scores = vote(term_counts(*C.utf8_view(batch.column(batch.schema.get_field_index("text"))), p), shared.value, p)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(scores)], [*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(scores)], [*keep, name])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -180,6 +179,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p: Param
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p: Parameters = Parameters()) -> DataFrame:
     """The documents that the vote doesn't reject, with the columns they came with; equal texts fare alike."""
-    if "_score" in docs.columns:
-        raise ValueError("a column named _score is in the way")
-    return score(docs, fit(docs, labels, p), p, docs.columns).where(F.col("_score") >= threshold).drop("_score")
+    name = C.free_name(docs, "_score")
+    return score(docs, fit(docs, labels, p), p, docs.columns, name).where(F.col(name) >= threshold).drop(name)

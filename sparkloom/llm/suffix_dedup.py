@@ -60,6 +60,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> tuple[np.nd
     at = np.arange(len(data) - p.gram + 1)
     gram = roll.spans(at, at + p.gram)
     least = sliding_least(gram, p.depth - p.gram + 1)
+    # windows of one byte throughout are all equal: they are keys of their own, and are never sorted
+    agree = np.concatenate(([0], np.cumsum(data[1:] == data[:-1])))
+    constant = agree[p.depth - 1 :] - agree[: len(least)] == p.depth - 1
+    least = np.where(constant, C.mix64(data[: len(least)].astype(np.uint64) + np.uint64(C.POLY)), least)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     window = np.arange(len(least))
     inside = text[window] == text[window + p.depth - 1]
@@ -85,7 +89,17 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> tuple[np.nd
     if len(twice):
         salted = lambda k, o: C.mix64(k + o.astype(np.uint64) * np.uint64(C.POLY))
         again = np.isin(salted(key, owner), salted(g[twice], t[twice]))
-    content = roll.spans(first, last + p.depth)
+    plain = constant[first]
+    content = roll.spans(first, np.where(plain, first, last) + p.depth)
+    # of several such windows in a row, the first is a run for itself: the key then has two runs of one content
+    more = np.flatnonzero(plain & (last > first))
+    if len(more):
+        split = lambda x, new: np.concatenate((x, new))
+        owner, key, content, again = (split(x, x[more]) for x in (owner, key, content, again))
+        tail = last[more].copy()
+        last[more] = first[more]
+        first, last = split(first, first[more] + 1), split(last, tail)
+    again &= ~constant[first]
     base = offsets[owner]
     return owner, key.view(np.int64), content.view(np.int64), first - base, last - base, again
 
@@ -179,7 +193,9 @@ def kept_parts(n: int, spans: list[dict] | None, depth: int) -> list[tuple[int,
 
 
 def _with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return docs.withColumn("th", F.xxhash64("text")).alias("d").join(found.alias("m"), _same_doc("d", "m"), "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("m.spans").alias("_spans"))
+    th = C.free_name(docs, "_th")
+    on = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col(f"d.{th}") == F.col("m.th"))
+    return docs.withColumn(th, F.xxhash64("text")).alias("d").join(found.alias("m"), on, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("m.spans").alias(C.free_name(docs, "_spans")))
 
 
 def report(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
@@ -211,7 +227,8 @@ def report(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
 def remove_repeats(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """The documents with their texts cut, and n_chars, where there is one, counted anew; other columns as they came."""
     rows = _with_marks(docs, marks(docs, p))
-    cut = rows.where("_spans IS NOT NULL")
+    spans = rows.columns[-1]
+    cut = rows.where(F.col(spans).isNotNull())
     names = [*docs.columns]
     schema = T.StructType([rows.schema[c] for c in names])
 
@@ -229,4 +246,4 @@ def remove_repeats(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     out = cut.mapInArrow(run, schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.where("_spans IS NULL").drop("_spans").unionByName(out)
+    return rows.where(F.col(spans).isNull()).drop(spans).unionByName(out)
