@@ -13,7 +13,8 @@ a document meets at most one row in either join, however many items share a hash
 multiplies. Places are gathered by document and joined back to its text; they are bounded by its own length.
 
 Edges: null and empty texts have no words, are not contaminated and have the hash of an empty list; items without
-words mark nothing; repeated documents are judged alike; repeated item_ids count once; empty tables give no rows.
+words mark nothing; repeated documents are judged alike; repeated item_ids count once, and an item without an id marks words but is
+not counted; empty tables give no rows.
 """
 
 from __future__ import annotations

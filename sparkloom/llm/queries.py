@@ -66,7 +66,7 @@ bw AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS win FROM (SELE
 dw AS (SELECT rid, i, n, list_slice(w, i, i + n - 1) AS win FROM (SELECT rid, w, k.n, unnest(range(1, len(w) - k.n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) k WHERE len(w) >= k.n)),
 h AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win),
 marked AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM h)) GROUP BY rid),
-got AS (SELECT rid, list_sort(list(DISTINCT item_id)) AS items FROM h GROUP BY rid)
+got AS (SELECT rid, list_sort(list(DISTINCT item_id) FILTER (WHERE item_id IS NOT NULL)) AS items FROM h GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marked USING (rid) LEFT JOIN got USING (rid)

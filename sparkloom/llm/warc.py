@@ -103,7 +103,10 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, n_bytes:
     block = http + (payload or b"")
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"]
     lines += [f"WARC-Date: {capture_time(page_id):%Y-%m-%dT%H:%M:%SZ}", f"WARC-Payload-Digest: sha1:{digest}"]
-    lines += [f"WARC-Target-URI: {_clean(url)}"] * (url is not None) + [f"Page-Id: {page_id}"] * (page_id is not None)
+    if url is not None:
+        lines.append(f"WARC-Target-URI: {_clean(url)}")
+    if page_id is not None:
+        lines.append(f"Page-Id: {page_id}")
     if payload is None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-Id: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
