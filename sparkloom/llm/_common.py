@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a task holds at once in a Python worker, besides its largest single text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,16 +101,23 @@ POLY = 0x9E3779B97F4A7C15
 POLY_INV = pow(POLY, -1, 1 << 64)
 
 
+#: The longest row of powers of each base so far; tasks of a worker share it.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n - 1) modulo 2^64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    have = 1
-    while have < n:
-        step = np.uint64(pow(base, have, 1 << 64))
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * step
-        have += take
-    return out[:n]
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        out = np.ones(max(n, 1 << 16), np.uint64)
+        have = 1
+        while have < len(out):
+            step = np.uint64(pow(base, have, 1 << 64))
+            take = min(have, len(out) - have)
+            out[have : have + take] = out[:take] * step
+            have += take
+        known = _POWERS[base] = out
+    return known[:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -131,5 +138,10 @@ class Rolling:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(POLY, n), out=self.sums[1:])
         self.inverse = powers(POLY_INV, n + 1)
 
+    def every(self, width: int) -> np.ndarray:
+        """The hash of each span of `width` bytes, as spans() gives it."""
+        n = len(self.sums) - width
+        return mix64((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + np.uint64(width * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))

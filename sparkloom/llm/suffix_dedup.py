@@ -39,7 +39,7 @@ from sparkloom.llm.induced_sort import repeated_starts
 class Parameters:
     depth: int = 200
     gram: int = 24
-    shard_bytes: int = 4 << 20
+    shard_bytes: int = 2 << 20
     queue_entries: int = 4_000_000
 
 
@@ -57,16 +57,14 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> tuple[np.nd
     if len(data) < p.depth:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     roll = C.Rolling(data)
-    at = np.arange(len(data) - p.gram + 1)
-    gram = roll.spans(at, at + p.gram)
+    gram = roll.every(p.gram)
     least = sliding_least(gram, p.depth - p.gram + 1)
     # windows of one byte throughout are all equal: they are keys of their own, and are never sorted
     agree = np.concatenate(([0], np.cumsum(data[1:] == data[:-1])))
     constant = agree[p.depth - 1 :] - agree[: len(least)] == p.depth - 1
     least = np.where(constant, C.mix64(data[: len(least)].astype(np.uint64) + np.uint64(C.POLY)), least)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    window = np.arange(len(least))
-    inside = text[window] == text[window + p.depth - 1]
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    inside = text[: len(least)] == text[p.depth - 1 :]
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (text[1 : len(least)] != text[: len(least) - 1]) | ~inside[:-1]
     first = np.flatnonzero(new & inside)
@@ -80,15 +78,15 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> tuple[np.nd
     low = np.ones(len(gram), bool)
     low[1:] &= gram[1:] <= gram[:-1]
     low[:-1] &= gram[:-1] <= gram[1:]
-    low |= np.isin(at, offsets) | np.isin(at + p.gram, offsets)
-    own = np.flatnonzero(low & (text[at] == text[at + p.gram - 1]))
-    order = np.lexsort((gram[own], text[own]))
-    g, t = gram[own][order], text[own][order]
-    twice = np.flatnonzero((g[1:] == g[:-1]) & (t[1:] == t[:-1]))
-    again = np.zeros(len(first), bool)
-    if len(twice):
-        salted = lambda k, o: C.mix64(k + o.astype(np.uint64) * np.uint64(C.POLY))
-        again = np.isin(salted(key, owner), salted(g[twice], t[twice]))
+    low[offsets[offsets < len(gram)]] = True  # a text's first and last
+    ends = offsets - p.gram
+    low[ends[(ends >= 0) & (ends < len(gram))]] = True
+    own = np.flatnonzero(low & (text[: len(gram)] == text[p.gram - 1 :]))
+    salted = lambda k, o: C.mix64(k + o.astype(np.uint64) * np.uint64(C.POLY))
+    names = np.sort(salted(gram[own], text[own]))
+    twice = np.unique(names[1:][names[1:] == names[:-1]])
+    wanted = salted(key, owner)
+    again = twice[np.minimum(np.searchsorted(twice, wanted), len(twice) - 1)] == wanted if len(twice) else np.zeros(len(first), bool)
     plain = constant[first]
     content = roll.spans(first, np.where(plain, first, last) + p.depth)
     # of several such windows in a row, the first is a run for itself: the key then has two runs of one content
@@ -118,7 +116,7 @@ def all_runs(docs: DataFrame, p: Parameters) -> DataFrame:
     schema = T.StructType([rows.schema["doc_id"], T.StructField("th", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("key", "content")), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("twice", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.sliced(batches, "text", 2 << 20):
+        for batch in C.sliced(batches, "text"):
             owner, key, content, lo, hi, twice = runs_of(*C.utf8_view(batch.column(2)), p)
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(content), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(twice.astype(bool))], names=["doc_id", "th", "key", "content", "lo", "hi", "twice"])
