@@ -8,10 +8,12 @@ probabilities is kept in whole millionths, so that sums are exact and plans can'
 A URL's score is the sum, over its characters, of the difference for the longest n-gram known, divided by its
 length. The threshold is calibrated on the examples: the cut with the highest mean of both classes' hit rates.
 
-Scale: counts are grouped before the shuffle; n-grams of three or more characters share `slots` bins by a
-remainder, so that each of the orders' tables has at most `slots` rows and can be sent to every task whatever
-the number of URLs. Scoring explodes a URL into its positions, looks them up in broadcast tables and sums them by
-row: partial sums leave each task as one row for each URL. No URL is joined back, so a frequent one is no hot key.
+Scale: counts are grouped before the shuffle, and every n-gram has a row of its own: the orders' tables grow with
+the input. Only tables of at most `slots` possible rows (n-grams of up to three characters) are sent to every task;
+the others are joined by shuffles, in which a key has at most 40 rows. Scoring looks up each different n-gram of the
+URLs once; the positions then get their n-gram's value by a shuffled join, except the n-grams that make up more than
+1 / `often` of all positions: these are fewer than `often`, would be hot keys, and are sent to every task. Sums are
+joined back by a row number, so a frequent URL is no hot key.
 
 Edges: a null URL, or one without "://", has empty host and path; an empty URL scores 0; a score at the threshold
 is allowed; without examples of both kinds every undecided URL is allowed; repeated rows are judged alike.
@@ -38,7 +40,8 @@ MILLION = 1_000_000
 class Parameters:
     rules: tuple[tuple[str, str, str], ...] = RULES
     order: int = 4  # characters of context
-    slots: int = 65_521  # a prime: rows of each order's table at most
+    slots: int = 65_521  # tables of at most so many possible rows are sent to every task
+    often: int = 1000  # n-grams of more than 1 / often of the positions are looked up by a broadcast
     levels: int = 2000  # steps of the score between which the threshold is sought
 
 
@@ -76,46 +79,60 @@ def _gram(k: int) -> Column:
     return F.col("_gram") % BASE ** (k + 1)
 
 
-def _slot(gram: Column, k: int, p: Parameters) -> Column:
-    """The row of order k's table: the number itself, or a remainder where there would be too many."""
-    return gram if BASE ** (k + 1) <= p.slots else gram % p.slots
+def _context(gram: Column) -> Column:
+    """An n-gram without its last character."""
+    return F.floor(gram / BASE)
+
+
+def _sent(table: DataFrame, possible: int, p: Parameters) -> DataFrame:
+    """table, to be sent to every task if `possible`, the most rows that it can have whatever the input, are few."""
+    return F.broadcast(table) if possible <= p.slots else table
 
 
 def train(examples: DataFrame, p: Parameters = Parameters()) -> list[DataFrame]:
-    """For each order k, (slot_k, diff_k): the difference of log probabilities, in millionths. examples: text, accepted."""
+    """For each order k, (gram_k, diff_k): the difference of log probabilities. examples: text, accepted."""
     counted = _positions(examples.select("text", "accepted"), p).groupBy("_gram").agg(F.sum(F.col("accepted").cast("long")).alias("n1"), F.sum((~F.col("accepted")).cast("long")).alias("n0"))
     counted = C.written(counted, "url-grams")
     tables: list[DataFrame] = []
     for k in range(p.order + 1):
-        gram = _gram(k)
-        context = F.floor(gram / BASE)
-        rows = counted.groupBy(_slot(gram, k, p).alias("slot"), (context if BASE ** (k + 1) <= p.slots else context % p.slots).alias("context"), _slot(gram % BASE**k, k - 1, p).alias("lower") if k else F.lit(0).cast("long").alias("lower"))
-        rows = rows.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        # where n-grams share a slot, the most frequent names its context and its lower order
-        rows = rows.groupBy("slot").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max(F.struct(F.col("n1") + F.col("n0"), "context", "lower")).alias("m")).select("slot", "n1", "n0", "m.context", "m.lower")
+        rows = counted.groupBy(_gram(k).alias(f"gram_{k}")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        rows = rows.withColumn("context", _context(F.col(f"gram_{k}"))).withColumn("lower", F.col(f"gram_{k}") % BASE**k)
         sums = rows.groupBy("context").agg(*(f(c).alias(a) for c in ("n1", "n0") for f, a in ((F.sum, f"all_{c}"), (lambda x: F.sum((F.col(x) > 0).cast("long")), f"kinds_{c}"))))
-        rows = rows.join(sums, "context")
+        rows = rows.join(_sent(sums, BASE**k, p), "context")
         if k:
-            rows = rows.join(tables[-1].select(F.col(f"slot_{k - 1}").alias("lower"), F.col("p1").alias("lower_p1"), F.col("p0").alias("lower_p0")), "lower", "left")
+            lower = tables[-1].select(F.col(f"gram_{k - 1}").alias("lower"), F.col("p1").alias("lower_p1"), F.col("p0").alias("lower_p0"))
+            rows = rows.join(_sent(lower, BASE**k, p), "lower")
         for c in ("n1", "n0"):
-            own = F.coalesce(F.col(f"lower_p{c[1]}"), F.lit(1.0 / BASE)) if k else F.lit(1.0 / BASE)
+            own = F.col(f"lower_p{c[1]}") if k else F.lit(1.0 / BASE)
             kinds = F.greatest(F.col(f"kinds_{c}"), F.lit(1))
             rows = rows.withColumn(f"p{c[1]}", (F.col(c) + kinds * own) / (F.col(f"all_{c}") + kinds))
-        diff = F.round(MILLION * (F.ln("p1") - F.ln("p0"))).cast("long")
-        tables.append(C.written(rows.select(F.col("slot").alias(f"slot_{k}"), diff.alias(f"diff_{k}"), "p1", "p0"), f"url-order-{k}"))
+        tables.append(C.written(rows.select(f"gram_{k}", (F.ln("p1") - F.ln("p0")).alias(f"diff_{k}"), "p1", "p0"), f"url-order-{k}"))
     return [t.drop("p1", "p0") for t in tables]
 
 
+def _values(grams: DataFrame, tables: list[DataFrame], p: Parameters) -> DataFrame:
+    """grams (_gram, each once, and other columns) with value: its last character's part of the score, in millionths."""
+    keep, value = grams.columns, F.lit(0.0)
+    for k, table in enumerate(tables):
+        grams = grams.withColumn(f"gram_{k}", _gram(k)).join(_sent(table, BASE ** (k + 1), p), f"gram_{k}", "left")
+        value = F.coalesce(F.col(f"diff_{k}"), value)
+    return grams.select(*keep, F.round(MILLION * value).cast("long").alias("value"))
+
+
 def score(rows: DataFrame, tables: list[DataFrame], p: Parameters = Parameters()) -> DataFrame:
-    """rows (text, and columns to keep) with score: millionths for each character, rounded down."""
+    """rows (text, and columns to keep) with score: millionths for each character, rounded down; 0 for an empty text."""
     keep = [c for c in rows.columns if c != "text"]
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    at = _positions(rows.withColumn("_length", F.length("text")), p)
-    for k, table in enumerate(tables):  # at most p.slots rows each
-        at = at.withColumn(f"slot_{k}", _slot(_gram(k), k, p)).join(F.broadcast(table), f"slot_{k}", "left")
-    best = F.coalesce(*(F.col(f"diff_{k}") for k in reversed(range(len(tables)))), F.lit(0))
-    total = at.groupBy("_row", "_length", *keep).agg(F.sum(best).alias("_total"))
-    return total.select(*keep, F.floor(F.col("_total") / F.col("_length")).cast("long").alias("score"))
+    rows = C.written(rows.withColumn("_row", F.monotonically_increasing_id()), "url-rows")
+    at = _positions(rows.select("_row", "text"), p)
+    values = C.written(_values(at.groupBy("_gram").agg(F.count("*").alias("_n")), tables, p), "url-values")
+    most = (values.agg(F.sum("_n")).first()[0] or 0) / p.often
+    # fewer than p.often rows
+    at = at.join(F.broadcast(values.where(F.col("_n") > most).select("_gram", "value")), "_gram", "left")
+    rest = at.where("value IS NULL").select("_row", "_gram").join(values.where(F.col("_n") <= most), "_gram")
+    parts = at.where("value IS NOT NULL").select("_row", "value").unionByName(rest.select("_row", "value"))
+    totals = parts.groupBy("_row").agg(F.sum("value").alias("_total"))
+    each = F.coalesce(F.col("_total"), F.lit(0)) / F.greatest(F.length("text"), F.lit(1))
+    return rows.join(totals, "_row", "left").select(*keep, F.floor(each).cast("long").alias("score"))
 
 
 def calibrate(scored: DataFrame, p: Parameters = Parameters()) -> int:
@@ -139,15 +156,11 @@ def filter_urls(pages: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     # an example's text is what the rules left open: the host's first label and the path's tail say as little as the rest
     text = F.concat("host", "path").alias("text")
     examples = rows.where("ruled IS NOT NULL").select(text, (F.col("ruled") == "allow").alias("accepted"))
+    if examples.agg(F.count_distinct("accepted")).first()[0] < 2:
+        return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("score"))
     tables = train(examples, p)
-    both = examples.agg(F.count_distinct("accepted")).first()[0] == 2
-    threshold = calibrate(score(examples, tables, p), p) if both else None
-    ruled = rows.where("ruled IS NOT NULL").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("long").alias("score"))
-    unruled = rows.where("ruled IS NULL").select("page_id", "host", "path", "rule", text)
-    if both:
-        judged = score(unruled, tables, p).withColumn("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-        # an empty URL has no character to be judged by
-        judged = judged.unionByName(unruled.where("text = ''").select("page_id", "host", "path", "rule", F.lit(0).cast("long").alias("score"), F.lit("allow").alias("verdict")))
-    else:
-        judged = unruled.select("page_id", "host", "path", "rule", F.lit(None).cast("long").alias("score"), F.lit("allow").alias("verdict"))
-    return ruled.unionByName(judged.select(*ruled.columns))
+    scored = C.written(score(rows.select("page_id", "host", "path", "rule", "ruled", text), tables, p), "url-scores")
+    threshold = calibrate(scored.where("ruled IS NOT NULL").select((F.col("ruled") == "allow").alias("accepted"), "score"), p)
+    # an empty URL has no character to be judged by
+    open_verdict = F.when((F.col("score") >= threshold) | (F.concat("host", "path") == ""), "allow").otherwise("block")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", open_verdict).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"))

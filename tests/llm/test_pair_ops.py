@@ -286,6 +286,39 @@ def test_url_model_equals_brute_force(spark):
     assert min(got[t] for t in texts[:40]) > max(got[t] for t in texts[40:])
 
 
+def brute_url_score(examples, text, order):
+    """The score by the definition, in millionths: examples are (text, accepted)."""
+    code = {c: i + 1 for i, c in enumerate(url_filter.ALPHABET)}
+    coded = lambda t: [*[0] * order, *(code.get(c, 39) for c in t.lower())]
+    counts = [[defaultdict(Counter) for _ in range(order + 1)] for _ in range(2)]
+    for t, accepted in examples:
+        x = coded(t)
+        for j in range(order, len(x)):
+            for k in range(order + 1):
+                counts[accepted][k][tuple(x[j - k : j])][x[j]] += 1
+
+    def prob(c, context, last):
+        own = counts[c][len(context)][context]
+        kinds = max(1, len(own))
+        return (own[last] + kinds * (prob(c, context[1:], last) if context else 1 / 40)) / (sum(own.values()) + kinds)
+
+    x = coded(text)
+    return sum(round(1e6 * (np.log(prob(1, tuple(x[j - order : j]), x[j])) - np.log(prob(0, tuple(x[j - order : j]), x[j])))) for j in range(order, len(x))) / max(1, len(text))
+
+
+def test_url_model_keeps_every_ngram(spark):
+    """Production parameters, with n-grams of five characters that had one remainder by 65,521, and more of them than that."""
+    draw = random.Random(7)
+    examples = [("".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)), i % 2 == 0) for i in range(2500)]
+    rows = spark.createDataFrame(examples, "text string, accepted boolean")
+    tables = url_filter.train(rows)
+    assert url_filter.Parameters().order == 4 and sum(1 for _ in {t[i : i + 5] for t, _ in examples for i in range(36)}) > 65_521
+    some = examples[::250]
+    got = {r.name: r.score for r in url_filter.score(rows.where(F.col("text").isin([t for t, _ in some])).select("text", F.col("text").alias("name")), tables).collect()}
+    for t, _ in some:
+        assert abs(got[t] - brute_url_score(examples, t, 4)) <= 2
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_registered_sql(spark, sf, name):
     assert spark_rows(queries()[name](spark, sf)) == duckdb_rows(oracle_sql()[name], sf)
