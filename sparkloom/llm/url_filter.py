@@ -4,9 +4,9 @@ URLs that a rule decides are the examples: allowed ones train the model of accep
 rejected URLs. Both are variable-order Markov models over an alphabet of 40 character classes with Witten-Bell
 smoothing: P_k(c | h) = (n(hc) + t(h) P_{k-1}(c | h')) / (n(h) + t(h)), h' without its first character, t(h) the
 number of different successors. For each n-gram that either class has, the difference of the two models' log
-probabilities is kept in whole millionths, so that sums are exact and plans can't differ in the last digit.
-A URL's score is the sum, over its characters, of the difference for the longest n-gram known, divided by its
-length. The threshold is calibrated on the examples: the cut with the highest mean of both classes' hit rates.
+probabilities is kept, and for each context that of ln(t(h) / (n(h) + t(h))), which an unseen successor owes.
+A character's part of the score is the difference for the longest n-gram known, plus the escapes of all longer
+contexts known, in whole millionths, so that sums are exact. A URL's score is their sum, divided by its length. The threshold is calibrated on the examples: the cut with the highest mean of both classes' hit rates.
 
 Scale: counts are grouped before the shuffle, and every n-gram has a row of its own: the orders' tables grow with
 the input. Only tables of at most `slots` possible rows (n-grams of up to three characters) are sent to every task;
@@ -89,37 +89,41 @@ def _sent(table: DataFrame, possible: int, p: Parameters) -> DataFrame:
     return F.broadcast(table) if possible <= p.slots else table
 
 
-def train(examples: DataFrame, p: Parameters = Parameters()) -> list[DataFrame]:
-    """For each order k, (gram_k, diff_k): the difference of log probabilities. examples: text, accepted."""
+def train(examples: DataFrame, p: Parameters = Parameters()) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order k, the differences of log probabilities: (gram_k, diff_k) of its n-grams and (context_k, escape_k)
+    of an unseen successor of its contexts. examples: text, accepted."""
     counted = _positions(examples.select("text", "accepted"), p).groupBy("_gram").agg(F.sum(F.col("accepted").cast("long")).alias("n1"), F.sum((~F.col("accepted")).cast("long")).alias("n0"))
     counted = C.written(counted, "url-grams")
-    tables: list[DataFrame] = []
+    tables: list[tuple[DataFrame, DataFrame]] = []
     for k in range(p.order + 1):
         rows = counted.groupBy(_gram(k).alias(f"gram_{k}")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         rows = rows.withColumn("context", _context(F.col(f"gram_{k}"))).withColumn("lower", F.col(f"gram_{k}") % BASE**k)
         sums = rows.groupBy("context").agg(*(f(c).alias(a) for c in ("n1", "n0") for f, a in ((F.sum, f"all_{c}"), (lambda x: F.sum((F.col(x) > 0).cast("long")), f"kinds_{c}"))))
         rows = rows.join(_sent(sums, BASE**k, p), "context")
         if k:
-            lower = tables[-1].select(F.col(f"gram_{k - 1}").alias("lower"), F.col("p1").alias("lower_p1"), F.col("p0").alias("lower_p0"))
+            lower = tables[-1][0].select(F.col(f"gram_{k - 1}").alias("lower"), F.col("p1").alias("lower_p1"), F.col("p0").alias("lower_p0"))
             rows = rows.join(_sent(lower, BASE**k, p), "lower")
+        escape = lambda c: F.ln(F.greatest(F.col(f"kinds_{c}"), F.lit(1)) / (F.col(f"all_{c}") + F.greatest(F.col(f"kinds_{c}"), F.lit(1))))
+        escapes = C.written(sums.select(F.col("context").alias(f"context_{k}"), (escape("n1") - escape("n0")).alias(f"escape_{k}")), f"url-escapes-{k}")
         for c in ("n1", "n0"):
             own = F.col(f"lower_p{c[1]}") if k else F.lit(1.0 / BASE)
             kinds = F.greatest(F.col(f"kinds_{c}"), F.lit(1))
             rows = rows.withColumn(f"p{c[1]}", (F.col(c) + kinds * own) / (F.col(f"all_{c}") + kinds))
-        tables.append(C.written(rows.select(f"gram_{k}", (F.ln("p1") - F.ln("p0")).alias(f"diff_{k}"), "p1", "p0"), f"url-order-{k}"))
-    return [t.drop("p1", "p0") for t in tables]
+        tables.append((C.written(rows.select(f"gram_{k}", (F.ln("p1") - F.ln("p0")).alias(f"diff_{k}"), "p1", "p0"), f"url-order-{k}"), escapes))
+    return [(t.drop("p1", "p0"), escapes) for t, escapes in tables]
 
 
-def _values(grams: DataFrame, tables: list[DataFrame], p: Parameters) -> DataFrame:
+def _values(grams: DataFrame, tables: list[tuple[DataFrame, DataFrame]], p: Parameters) -> DataFrame:
     """grams (_gram, each once, and other columns) with value: its last character's part of the score, in millionths."""
     keep, value = grams.columns, F.lit(0.0)
-    for k, table in enumerate(tables):
+    for k, (table, escapes) in enumerate(tables):
         grams = grams.withColumn(f"gram_{k}", _gram(k)).join(_sent(table, BASE ** (k + 1), p), f"gram_{k}", "left")
-        value = F.coalesce(F.col(f"diff_{k}"), value)
+        grams = grams.withColumn(f"context_{k}", _context(_gram(k))).join(_sent(escapes, BASE**k, p), f"context_{k}", "left")
+        value = F.coalesce(F.col(f"diff_{k}"), F.coalesce(F.col(f"escape_{k}"), F.lit(0.0)) + value)
     return grams.select(*keep, F.round(MILLION * value).cast("long").alias("value"))
 
 
-def score(rows: DataFrame, tables: list[DataFrame], p: Parameters = Parameters()) -> DataFrame:
+def score(rows: DataFrame, tables: list[tuple[DataFrame, DataFrame]], p: Parameters = Parameters()) -> DataFrame:
     """rows (text, and columns to keep) with score: millionths for each character, rounded down; 0 for an empty text."""
     keep = [c for c in rows.columns if c != "text"]
     rows = C.written(rows.withColumn("_row", F.monotonically_increasing_id()), "url-rows")

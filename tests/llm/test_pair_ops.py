@@ -319,6 +319,16 @@ def test_url_model_keeps_every_ngram(spark):
         assert abs(got[t] - brute_url_score(examples, t, 4)) <= 2
 
 
+def test_url_model_scores_unseen_ngrams(spark):
+    """Texts outside the examples: each class owes its own escape from every longer context that it knows."""
+    examples = [("aaab" * 12 + f"{i}", True) for i in range(30)] + [(f"ac{i}ad" * 3, False) for i in range(30)]
+    tables = url_filter.train(spark.createDataFrame(examples, "text string, accepted boolean"))
+    texts = ["aaac", "aaa", "zzz", "aaabaaad7", "xac9aaabz", "aaaba", "?", ""]
+    got = {r.name: r.score for r in url_filter.score(spark.createDataFrame([(t, t) for t in texts], "text string, name string"), tables).collect()}
+    for t in texts:
+        assert abs(got[t] - brute_url_score(examples, t, 4)) <= 2
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_registered_sql(spark, sf, name):
     assert spark_rows(queries()[name](spark, sf)) == duckdb_rows(oracle_sql()[name], sf)
