@@ -15,8 +15,10 @@ URLs once; the positions then get their n-gram's value by a shuffled join, excep
 1 / `often` of all positions: these are fewer than `often`, would be hot keys, and are sent to every task. Sums are
 joined back by a row number, so a frequent URL is no hot key.
 
-Edges: a null URL, or one without "://", has empty host and path; an empty URL scores 0; a score at the threshold
-is allowed; without examples of both kinds every undecided URL is allowed; repeated rows are judged alike.
+The model reads the whole URL, scheme, query and fragment included; host and path are for the rules alone.
+
+Edges: a null URL, or one without "://", has empty host and path, which no rule fits unless it is empty too; a null or
+empty URL scores 0 and is judged by that like others; a score at the threshold is allowed; without examples of both kinds every undecided URL is allowed; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -154,17 +156,15 @@ def calibrate(scored: DataFrame, p: Parameters = Parameters()) -> int:
 def filter_urls(pages: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every page; score is null where a rule decided."""
     host, path = split_url(F.col("url").cast("string"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    # the text that the model reads is the whole URL
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce(F.lower(F.col("url").cast("string")), F.lit("")).alias("text"))
     name, verdict = matched(F.col("host"), F.col("path"), p.rules)
-    rows = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    # an example's text is what the rules left open: the host's first label and the path's tail say as little as the rest
-    text = F.concat("host", "path").alias("text")
-    examples = rows.where("ruled IS NOT NULL").select(text, (F.col("ruled") == "allow").alias("accepted"))
+    rows = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"), "text")
+    examples = rows.where("ruled IS NOT NULL").select("text", (F.col("ruled") == "allow").alias("accepted"))
     if examples.agg(F.count_distinct("accepted")).first()[0] < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("score"))
     tables = train(examples, p)
-    scored = C.written(score(rows.select("page_id", "host", "path", "rule", "ruled", text), tables, p), "url-scores")
+    scored = C.written(score(rows, tables, p), "url-scores")
     threshold = calibrate(scored.where("ruled IS NOT NULL").select((F.col("ruled") == "allow").alias("accepted"), "score"), p)
-    # an empty URL has no character to be judged by
-    open_verdict = F.when((F.col("score") >= threshold) | (F.concat("host", "path") == ""), "allow").otherwise("block")
+    open_verdict = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", open_verdict).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"))

@@ -329,6 +329,22 @@ def test_url_model_scores_unseen_ngrams(spark):
         assert abs(got[t] - brute_url_score(examples, t, 4)) <= 2
 
 
+def test_url_model_reads_the_whole_url(spark):
+    """Query strings and URLs without a scheme are scored; an empty URL is held to the threshold like others."""
+    examples = [(f"http://a{i}.net/de/1?good=yes{i}", True) for i in range(40)] + [(f"http://b{i}.org/es/1?win=bet{i}", False) for i in range(40)]
+    urls = ["http://x.fr/view?good=yes", "http://x.fr/view?win=bet", "good=yes no scheme", "win=bet no scheme", "", None]
+    pages = spark.createDataFrame(list(enumerate([u for u, _ in examples] + urls)), "page_id long, url string")
+    got = {r.page_id - len(examples): r for r in url_filter.filter_urls(pages).collect()}
+    tables = url_filter.train(spark.createDataFrame(examples, "text string, accepted boolean"))
+    own = url_filter.score(spark.createDataFrame(examples, "text string, accepted boolean"), tables)
+    threshold = url_filter.calibrate(own)
+    for i, u in enumerate(urls):
+        assert abs(got[i].score - brute_url_score(examples, u or "", 4)) <= 2
+        assert got[i].verdict == ("allow" if got[i].score >= threshold else "block")
+    assert got[0].score > got[1].score and got[2].score > got[3].score  # they differ after the '?', or have no host
+    assert threshold > 0 and got[4].score == got[5].score == 0 and got[4].verdict == got[5].verdict == "block"
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_registered_sql(spark, sf, name):
     assert spark_rows(queries()[name](spark, sf)) == duckdb_rows(oracle_sql()[name], sf)
