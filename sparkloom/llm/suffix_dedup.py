@@ -8,8 +8,9 @@ A byte goes if a string of `depth` bytes that covers it starts anywhere else too
    repeat; a key whose runs are all of the same bytes holds nothing else.
 2. Of the other keys, one run of each content is fetched from its text. Keys are dealt out, and tasks sort the
    suffixes of as many keys at a time as make up `shard_bytes`, by external induced sorting (induced_sort.py), whose
-   common prefixes tell the windows that occur twice. A key whose own runs are more is sorted alone, with its
-   queues on disk in the shared folder.
+   common prefixes tell the windows that occur twice. A task holds less than twice `shard_bytes` of text.
+   Keys whose own runs are more, as those of a passage that many texts share, are not sorted: each of their windows
+   is a key of its own, named by the hashes of its two halves, and counted, so that no task holds all of a key.
 3. Intervals of windows go back to the runs' documents, are merged, and the texts are cut.
 
 Nothing is collected, dropped or sampled; the marks of a text are bounded by its own length.
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,6 +145,8 @@ def sorted_repeats(strings: DataFrame, folder: str, p: Parameters) -> DataFrame:
         size, last = 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # repeated rows bring a run twice
                 if size >= p.shard_bytes and row[0] != last:
                     yield sort(held)
                     held, size = [], 0
@@ -155,6 +158,40 @@ def sorted_repeats(strings: DataFrame, folder: str, p: Parameters) -> DataFrame:
     return strings.repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, spec)
 
 
+def counted_repeats(strings: DataFrame, p: Parameters) -> DataFrame:
+    """What sorted_repeats gives, for keys of any size: equal windows share the hashes (128 bits) of their two halves."""
+    half = (p.depth + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.sliced(batches, "bytes"):
+            held = batch.column(2).to_pylist()
+            size = np.array([len(x) for x in held], np.int64)
+            n = size - p.depth + 1
+            owner = np.repeat(np.arange(len(held)), n)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            first = (np.cumsum(size) - size)[owner] + at
+            hashes = C.Rolling(np.frombuffer(b"".join(held), np.uint8)).every(half).view(np.int64)
+            own = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int32()), pa.array(hashes[first]), pa.array(hashes[first + p.depth - half])], names=["key", "content", "at", "h1", "h2"])
+
+    strings = strings.groupBy("key", "content").agg(F.min("bytes").alias("bytes"))  # repeated rows bring a run twice
+    windows = C.written(strings.mapInArrow(run, "key long, content long, at int, h1 long, h2 long"), "windows")
+    again = windows.groupBy("key", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    hits = windows.join(again, ["key", "h1", "h2"]).select("key", "content", "at")
+    row = F.row_number().over(Window.partitionBy("key", "content").orderBy("at"))  # at most a run's windows
+    spans = hits.withColumn("island", F.col("at") - row).groupBy("key", "content", "island").agg(F.min("at").alias("s"), F.max("at").alias("e"))
+    return spans.groupBy("key", "content").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+
+def _strings(docs: DataFrame, runs: DataFrame, p: Parameters) -> DataFrame:
+    """(key, content, bytes) of the runs, fetched from their texts."""
+    lists = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "content", "lo", "hi")).alias("own"))
+    texts = _keyed(docs).alias("d").join(lists.alias("l"), _same_doc("d", "l")).select("d.text", "l.own")
+    text = F.col("text").cast("binary")
+    strings = texts.select(text.alias("text"), F.explode("own").alias("x"))
+    return strings.select("x.key", "x.content", F.substring("text", F.col("x.lo") + 1, F.col("x.hi") - F.col("x.lo") + p.depth).alias("bytes"))
+
+
 def marks(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, th, spans array<struct<s, e>>): for texts with repeats, first and last of neighbouring repeated windows."""
     spark = docs.sparkSession
@@ -163,12 +200,16 @@ def marks(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     found = C.written(all_runs(docs, p).drop("twice").join(kinds, "key"), "repeat-runs")
     mixed = found.where("NOT whole").groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("th", "doc_id", "lo", "hi")).alias("r"))
     mixed = C.written(mixed.select("key", "content", (F.col("n") > 1).alias("many"), F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "r.lo", "r.hi"), "mixed-runs")
-    lists = mixed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "content", "lo", "hi")).alias("own"))
-    texts = _keyed(docs).alias("d").join(lists.alias("l"), _same_doc("d", "l")).select("d.text", "l.own")
-    text = F.col("text").cast("binary")
-    strings = texts.select(text.alias("text"), F.explode("own").alias("x")).select("x.key", "x.content", F.substring("text", F.col("x.lo") + 1, F.col("x.hi") - F.col("x.lo") + p.depth).alias("bytes"))
-    repeats = C.written(sorted_repeats(strings, C.fresh_dir(spark, "queues"), p), "sorted-runs")
-    repeats = repeats.groupBy("key", "content").agg(F.first("spans").alias("spans"))  # repeated rows bring a run twice
+    size = (F.col("hi") - F.col("lo") + p.depth).cast("long")
+    large = C.written(mixed.groupBy("key").agg(F.sum(size).alias("size")).where(F.col("size") > p.shard_bytes).select("key"), "large-keys")
+    queues = C.fresh_dir(spark, "queues")
+    if large.isEmpty():
+        repeats = sorted_repeats(_strings(docs, mixed, p), queues, p)
+    else:
+        repeats = sorted_repeats(_strings(docs, mixed.join(large, "key", "left_anti"), p), queues, p)
+        repeats = repeats.unionByName(counted_repeats(_strings(docs, mixed.join(large, "key", "left_semi"), p), p))
+    repeats = C.written(repeats, "sorted-runs")
+    repeats = repeats.groupBy("key", "content").agg(F.first("spans").alias("spans"))
     parts = mixed.select("key", "content", "many").join(repeats, ["key", "content"], "left")
     whole = found.where("whole").select("doc_id", "th", F.col("lo").alias("s"), F.col("hi").alias("e"))
     some = found.where("NOT whole").join(parts, ["key", "content"])

@@ -126,6 +126,24 @@ def test_suffix_dedup_equals_brute_force(spark, edge_docs, no_docs):
     assert suffix_dedup.report(no_docs).count() == 0
 
 
+def test_suffix_dedup_parts_a_passage_that_many_share(spark, monkeypatch):
+    """No key that is sorted in one task is larger than a shard; those that are parted give the same marks."""
+    p = suffix_dedup.Parameters(shard_bytes=4000)
+    shared = words(91, 60)[:260]
+    rows = [(i, f"{words(500 + i % 120, 40, 9_000)} {shared} {words(900 + i % 130, 40, 9_000)}", "en", "a", 1) for i in range(140)]
+    rows += [(1, rows[1][1], "en", "a", 1)] * 3
+    largest, sort = [], suffix_dedup.sorted_repeats
+
+    def watched(strings, *rest):
+        largest.append(strings.dropDuplicates(["key", "content"]).groupBy("key").agg(F.sum(F.length("bytes")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return sort(strings, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "sorted_repeats", watched)
+    expected = sorted(((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows]), strict=True)), key=str)
+    assert sorted(map(tuple, suffix_dedup.report(spark.createDataFrame(rows, SCHEMA), p).collect()), key=str) == expected
+    assert max(largest) <= p.shard_bytes
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_induced_sort_equals_brute_force(seed):
     draw = np.random.default_rng(seed)
