@@ -67,6 +67,15 @@ def first_by_hash(ids: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(n)
 
 
+def one_text_each(docs: DataFrame, sampled: DataFrame) -> DataFrame:
+    """The bounded sample (doc_id, a label) with one text for each row, as (label, text): of an id's texts, the one that
+    hashes lowest. Rows of one doc_id are reduced before the shuffle, so that one with any number of them is no hot key."""
+    label = [c for c in sampled.columns if c != "doc_id"]
+    rows = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id")
+    least = rows.groupBy("doc_id", *label).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return least.select(*label, F.col("least.text").alias("text"))
+
+
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column, without copying; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

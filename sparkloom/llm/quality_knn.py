@@ -142,8 +142,8 @@ def vote(terms: np.ndarray, model: Model, p: Parameters) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters(), mod: int = 5, rest: int = 0) -> Model | None:
     """Learns from a hash sample of at most most_labelled labelled ids outside the fold; None where there are none."""
     sampled = C.first_by_hash(C.agreed_labels(labels, "quality", mod, rest), p.most_labelled)
-    # at most most_labelled ids are sent out, whatever the tables hold
-    rows = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("y", "text")
+    # at most most_labelled ids are sent out, and as many rows come back, whatever the tables hold
+    rows = C.one_text_each(docs, sampled)
     found = rows.mapInArrow(_terms_of(p), "y int, terms array<float>").toArrow()
     if not found.num_rows:
         return None

@@ -201,8 +201,8 @@ def _stats_with(carry: str):
 def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Trees | None:
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     sampled = C.first_by_hash(known.select("doc_id", F.col("lo").cast("int").alias("y")), p.most_labelled)
-    # at most most_labelled ids are sent out, whatever the tables hold
-    rows = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("y", "text")
+    # at most most_labelled ids are sent out, and as many rows come back, whatever the tables hold
+    rows = C.one_text_each(docs, sampled)
     found = rows.mapInArrow(_stats_with("y"), "y int, x array<double>").toArrow()
     if not found.num_rows:
         return None

@@ -140,9 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters(), mod: i
         return None
     sampled = C.first_by_hash(known.where("y = 1").select("doc_id"), p.most_positive).select("doc_id", F.lit(True).alias("positive"))
     open_ids = docs.where(~C.held_out("doc_id", mod, rest)).select("doc_id")
-    sampled = sampled.unionByName(C.first_by_hash(open_ids, p.most_unlabelled).distinct().select("doc_id", F.lit(False).alias("positive")))
-    # at most most_positive + most_unlabelled ids are sent out, whatever the tables hold
-    rows = docs.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("positive", "text")
+    sampled = sampled.unionByName(C.first_by_hash(open_ids.distinct(), p.most_unlabelled).select("doc_id", F.lit(False).alias("positive")))
+    # at most most_positive + most_unlabelled ids are sent out, and as many rows come back, whatever the tables hold
+    rows = C.one_text_each(docs, sampled)
     rows = rows.mapInArrow(_sampled_bins(p.bins), "positive boolean, bins array<int>").collect()
     return train(rows, float(prior), p) if rows else None
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from sparkloom.llm import quality_knn, quality_rules, token_counts, toxicity
 from sparkloom.llm._common import read_table
-from tests.llm.conftest import edge_rows
+from tests.llm.conftest import SCHEMA, edge_rows, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -174,3 +174,16 @@ def test_token_counts(spark, edge_docs, no_docs, library):
     assert all(library(r.text) <= 50 for r in token_counts.truncated(docs.limit(5), PATH, 50).collect())
     assert token_counts.token_counts(no_docs, PATH).count() == 0
     assert edge_docs.select(F.col("doc_id")).count() == len(got)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_rules, quality_knn])
+def test_repeated_labelled_id_is_fitted_once(spark, monkeypatch, module):
+    """A doc_id with many rows brings one row to the driver, and doesn't crowd others out of the sample."""
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 15 not in (0, 1, 4, 5, 7, 10, 13)]  # in no fold that is held out
+    rows = [(i, words(i, 30), "en", "a", 1) for i in ids] + [(ids[0], words(1000 + i % 50, 30), "en", "a", 1) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    seen, train = [], module.train
+    monkeypatch.setattr(module, "train", lambda found, *rest: seen.append(len(found)) or train(found, *rest))
+    module.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    # toxicity has an id of label 1 among the unlabelled too
+    assert seen == [len(ids) + (sum(i % 2 for i in ids) if module is toxicity else 0)]
