@@ -85,7 +85,7 @@ FROM k
 
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, text, length(text) AS chars,
- CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) AS digits FROM documents),
+ CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 12) AS BIGINT) AS DOUBLE) AS digits FROM documents),
 k AS (SELECT doc_id, source, size, -ln((digits + 0.5) / 281474976710656.0) / CASE WHEN coalesce(chars, 0) = 0 THEN 0.1
  ELSE greatest(0.1, 1.0 - 4.0 * ((chars - length(regexp_replace(text, '[#*$%&|<>!]+', '', 'g'))) / chars)) END AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
@@ -99,7 +99,7 @@ t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE (SELECT l FROM
 e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 r AS (SELECT *, CAST(floor(target) AS BIGINT) - epochs * source_size AS part FROM e),
 u AS (SELECT k.doc_id, k.size, r.source_size, r.target, r.epochs, r.part,
- coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+ coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(part - before, 0)) AS BIGINT) AS taken FROM u
 """

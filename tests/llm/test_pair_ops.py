@@ -250,6 +250,21 @@ def test_mixing_prefers_heavy_weights(spark):
     assert np.mean(heavy) > 1.2 * np.mean([r.taken for r in got if r.doc_id % 2])
 
 
+def test_mixing_buckets_are_even_for_any_weights(spark):
+    """Texts of symbols have a tenth of the weight of others; of equal rows, any number share one key."""
+    rows = [(i, "#$% " * 5 if i % 10 else "plain words here " * 3, "en", "s", 1) for i in range(10_000)] + [(None, "equal rows of five", "en", "t", 1)] * 3000 + [(1, "one", "en", "u", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    slim = docs.select(F.col("source").alias("_source"), mixing.quality_weight("text").alias("_weight"), (mixing.exponential("doc_id", "text") / mixing.quality_weight("text")).alias("_key"))
+    sizes = [r["count"] for r in mixing.bucketed(slim.where("_source = 's'"), 50).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 2 * 200
+    got = mixing.mix(docs, mixing.Parameters(weights=(1, 2, 1), budget_percent=60, bucket_rows=100), carry=["source"]).collect()
+    targets = water_filled({"s": 10_000 * 5 + 1000 * 4, "t": 15_000 - 3000, "u": 1}, mixing.Parameters(weights=(1, 2, 1), budget_percent=60))
+    for s in "stu":
+        assert 0 <= next(r.target for r in got if r.source == s) - sum(r.taken for r in got if r.source == s) < 1
+        assert all(r.taken <= 2 * r["size"] for r in got)
+    assert len(got) == len(rows) and abs(next(r.target for r in got if r.source == "u") - targets["u"]) < 1e-6
+
+
 URLS = [None, "", "no scheme", "http://", "http://Sub.Example.COM/en/7?x#y", "http://example.com/en/8", "http://com/en/", "http://notcom.org/es/x", "http://a.net/de/1", "http://example.net/de/85", "http://x.example.net/de/8", "http://xexample.net/de/8", "http://a.org?en", "http://a.org#frag/es/", "ftp://É.fr/é\n?q", "http://a.net/de/1"]
 
 
