@@ -6,7 +6,8 @@ smoothing: P_k(c | h) = (n(hc) + t(h) P_{k-1}(c | h')) / (n(h) + t(h)), h' witho
 number of different successors. For each n-gram that either class has, the difference of the two models' log
 probabilities is kept, and for each context that of ln(t(h) / (n(h) + t(h))), which an unseen successor owes.
 A character's part of the score is the difference for the longest n-gram known, plus the escapes of all longer
-contexts known, in whole millionths, so that sums are exact. A URL's score is their sum, divided by its length. The threshold is calibrated on the examples: the cut with the highest mean of both classes' hit rates.
+contexts known, in whole millionths, so that sums are exact. A URL's score is their sum, divided by its length. The threshold is the cut with the highest mean of both
+classes' hit rates on held-out examples: one in `folds`, by a hash of the URL, which the models don't learn from.
 
 Scale: counts are grouped before the shuffle, and every n-gram has a row of its own: the orders' tables grow with
 the input. Only tables of at most `slots` possible rows (n-grams of up to three characters) are sent to every task;
@@ -18,7 +19,8 @@ joined back by a row number, so a frequent URL is no hot key.
 The model reads the whole URL, scheme, query and fragment included; host and path are for the rules alone.
 
 Edges: a null URL, or one without "://", has empty host and path, which no rule fits unless it is empty too; a null or
-empty URL scores 0 and is judged by that like others; a score at the threshold is allowed; without examples of both kinds every undecided URL is allowed; repeated rows are judged alike.
+empty URL scores 0 and is judged by that like others; a score at the threshold is allowed; without examples of both kinds every undecided URL is allowed; where one kind is missing
+among those held out, or among the others, all examples are both learnt from and calibrated on; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ class Parameters:
     order: int = 4  # characters of context
     slots: int = 65_521  # tables of at most so many possible rows are sent to every task
     often: int = 1000  # n-grams of more than 1 / often of the positions are looked up by a broadcast
+    folds: int = 5  # one in so many examples is kept for the threshold
     levels: int = 2000  # steps of the score between which the threshold is sought
 
 
@@ -137,7 +140,7 @@ def score(rows: DataFrame, tables: list[tuple[DataFrame, DataFrame]], p: Paramet
     rest = at.where("value IS NULL").select("_row", "_gram").join(values.where(F.col("_n") <= most), "_gram")
     parts = at.where("value IS NOT NULL").select("_row", "value").unionByName(rest.select("_row", "value"))
     totals = parts.groupBy("_row").agg(F.sum("value").alias("_total"))
-    each = F.coalesce(F.col("_total"), F.lit(0)) / F.greatest(F.length("text"), F.lit(1))
+    each = F.coalesce(F.col("_total"), F.lit(0)) / F.greatest(F.length(F.lower("text")), F.lit(1))
     return rows.join(totals, "_row", "left").select(*keep, F.floor(each).cast("long").alias("score"))
 
 
@@ -153,6 +156,11 @@ def calibrate(scored: DataFrame, p: Parameters = Parameters()) -> int:
     return int(best["level"]) * step if best and best["hits"] is not None else -(1 << 62)
 
 
+def held_out(text: str, p: Parameters) -> Column:
+    """Whether an example is kept for the threshold."""
+    return F.pmod(F.xxhash64(text), F.lit(p.folds)) == 0
+
+
 def filter_urls(pages: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every page; score is null where a rule decided."""
     host, path = split_url(F.col("url").cast("string"))
@@ -160,11 +168,13 @@ def filter_urls(pages: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.coalesce(F.lower(F.col("url").cast("string")), F.lit("")).alias("text"))
     name, verdict = matched(F.col("host"), F.col("path"), p.rules)
     rows = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"), "text")
-    examples = rows.where("ruled IS NOT NULL").select("text", (F.col("ruled") == "allow").alias("accepted"))
-    if examples.agg(F.count_distinct("accepted")).first()[0] < 2:
+    ruled = rows.where("ruled IS NOT NULL").select("text", (F.col("ruled") == "allow").alias("accepted"), held_out("text", p).alias("held"))
+    kinds = {(r["accepted"], r["held"]) for r in ruled.select("accepted", "held").distinct().collect()}  # four at most
+    if len({accepted for accepted, _ in kinds}) < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("score"))
-    tables = train(examples, p)
-    scored = C.written(score(rows, tables, p), "url-scores")
-    threshold = calibrate(scored.where("ruled IS NOT NULL").select((F.col("ruled") == "allow").alias("accepted"), "score"), p)
+    apart = len(kinds) == 4
+    tables = train(ruled.where("NOT held") if apart else ruled, p)
+    scored = C.written(score(rows.withColumn("held", held_out("text", p)), tables, p), "url-scores")
+    threshold = calibrate(scored.where("ruled IS NOT NULL AND held" if apart else "ruled IS NOT NULL").select((F.col("ruled") == "allow").alias("accepted"), "score"), p)
     open_verdict = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", open_verdict).alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"))

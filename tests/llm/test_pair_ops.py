@@ -284,7 +284,7 @@ def test_url_rules_and_verdicts(spark):
     assert len(got) == len(URLS)
     for i, url in enumerate(URLS):
         host, path, rule, verdict = brute_rule(url)
-        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict == (verdict or got[i].verdict)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict in ([verdict] if verdict else ["allow", "block"])
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.filter_urls(pages.where("page_id < 4")).collect()} == {"allow"}
 
@@ -319,8 +319,8 @@ def test_url_model_equals_brute_force(spark):
     assert min(got[t] for t in texts[:40]) > max(got[t] for t in texts[40:])
 
 
-def brute_url_score(examples, text, order):
-    """The score by the definition, in millionths: examples are (text, accepted)."""
+def url_scorer(examples, order):
+    """What gives a text's score by the definition, in millionths: examples are (text, accepted)."""
     code = {c: i + 1 for i, c in enumerate(url_filter.ALPHABET)}
     coded = lambda t: [*[0] * order, *(code.get(c, 39) for c in t.lower())]
     counts = [[defaultdict(Counter) for _ in range(order + 1)] for _ in range(2)]
@@ -335,8 +335,15 @@ def brute_url_score(examples, text, order):
         kinds = max(1, len(own))
         return (own[last] + kinds * (prob(c, context[1:], last) if context else 1 / 40)) / (sum(own.values()) + kinds)
 
-    x = coded(text)
-    return sum(round(1e6 * (np.log(prob(1, tuple(x[j - order : j]), x[j])) - np.log(prob(0, tuple(x[j - order : j]), x[j])))) for j in range(order, len(x))) / max(1, len(text))
+    def score(text):
+        x = coded(text)
+        return sum(round(1e6 * (np.log(prob(1, tuple(x[j - order : j]), x[j])) - np.log(prob(0, tuple(x[j - order : j]), x[j])))) for j in range(order, len(x))) / max(1, len(x) - order)
+
+    return score
+
+
+def brute_url_score(examples, text, order):
+    return url_scorer(examples, order)(text)
 
 
 def test_url_model_keeps_every_ngram(spark):
@@ -362,17 +369,49 @@ def test_url_model_scores_unseen_ngrams(spark):
         assert abs(got[t] - brute_url_score(examples, t, 4)) <= 2
 
 
+def brute_threshold(scored, p=url_filter.Parameters()):
+    """The least of the levels' lower ends with the best mean hit rate; scored: (score, accepted)."""
+    step = 20 * url_filter.MILLION // p.levels
+    level = lambda x: max(-p.levels, min(p.levels, int(np.floor(np.floor(x) / step))))
+    rows = [(level(x), a) for x, a in scored]
+    good, bad = [x for x, a in rows if a], [x for x, a in rows if not a]
+    hits = lambda t: np.mean([x >= t for x in good]) + np.mean([x < t for x in bad])
+    return max(sorted({x for x, _ in rows}), key=lambda t: (round(hits(t), 12), -t)) * step
+
+
+def test_registered_verdicts_equal_brute_force(spark, sf):
+    """The registered query, undecided URLs too: rules, held-out threshold, scores and verdicts by their definitions."""
+    pages = {r.page_id: r.url for r in read_table(spark, sf, "pages").collect()}
+    got = {r.page_id: r for r in queries()["op8_url_filter"](spark, sf).collect()}
+    ruled = {i: brute_rule(u) for i, u in pages.items()}
+    lower = {i: (u or "").lower() for i, u in pages.items()}
+    kept = {r.text for r in spark.createDataFrame([(t,) for t in lower.values()], "text string").where(url_filter.held_out("text", url_filter.Parameters())).collect()}
+    examples = [(lower[i], x[3] == "allow") for i, x in ruled.items() if x[3]]
+    learnt, held = [x for x in examples if x[0] not in kept], [x for x in examples if x[0] in kept]
+    assert {a for _, a in learnt} == {a for _, a in held} == {True, False}
+    scorer = url_scorer(learnt, 4)
+    threshold, undecided = brute_threshold([(scorer(t), a) for t, a in held]), 0
+    for i in pages:
+        host, path, rule, verdict = ruled[i]
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        own = scorer(lower[i])
+        if verdict or abs(own - threshold) > 3:
+            assert got[i].verdict == (verdict or ("allow" if own >= threshold else "block"))
+        undecided += verdict is None
+    assert len(got) == len(pages) and undecided > 20
+
+
 def test_url_model_reads_the_whole_url(spark):
     """Query strings and URLs without a scheme are scored; an empty URL is held to the threshold like others."""
     examples = [(f"http://a{i}.net/de/1?good=yes{i}", True) for i in range(40)] + [(f"http://b{i}.org/es/1?win=bet{i}", False) for i in range(40)]
     urls = ["http://x.fr/view?good=yes", "http://x.fr/view?win=bet", "good=yes no scheme", "win=bet no scheme", "", None]
     pages = spark.createDataFrame(list(enumerate([u for u, _ in examples] + urls)), "page_id long, url string")
     got = {r.page_id - len(examples): r for r in url_filter.filter_urls(pages).collect()}
-    tables = url_filter.train(spark.createDataFrame(examples, "text string, accepted boolean"))
-    own = url_filter.score(spark.createDataFrame(examples, "text string, accepted boolean"), tables)
-    threshold = url_filter.calibrate(own)
+    learnt, held = [[x for x in examples if (x[0] in kept) == k] for kept in [{r.text for r in spark.createDataFrame(examples, "text string, accepted boolean").where(url_filter.held_out("text", url_filter.Parameters())).collect()}] for k in (False, True)]
+    assert {a for _, a in learnt} == {a for _, a in held} == {True, False}
+    threshold = brute_threshold([(brute_url_score(learnt, t, 4), a) for t, a in held])
     for i, u in enumerate(urls):
-        assert abs(got[i].score - brute_url_score(examples, u or "", 4)) <= 2
+        assert abs(got[i].score - brute_url_score(learnt, u or "", 4)) <= 2
         assert got[i].verdict == ("allow" if got[i].score >= threshold else "block")
     assert got[0].score > got[1].score and got[2].score > got[3].score  # they differ after the '?', or have no host
     assert threshold > 0 and got[4].score == got[5].score == 0 and got[4].verdict == got[5].verdict == "block"
