@@ -5,8 +5,10 @@ latent space. The sample's vectors and labels go out as one broadcast of fixed s
 floats); every document is compared with all of them, in blocks, by exact cosine products, and the `neighbours`
 most similar vote for their labels with their similarity (to the power `sharpness`) as weight.
 
-Terms are hashed: runs of four characters of the text's shape (letter case, digits, marks), and how much of the
-text its commonest word, its repeated words and its marks make up. Whole texts are read; nothing is cut.
+Terms are hashed: words, runs of four characters of the text's shape (letter case, digits, marks), and how much of the
+text its commonest word, its repeated words and its marks make up, and its length. Words and shapes are each a vector of
+length 1 of log counts; the shares, which tell word salad and boilerplate that words alone do not, are steps of a scale,
+`share_weight` / 10 each (the length a quarter of that). Whole texts are read; nothing is cut.
 
 Edges: null and empty texts have the terms of an empty text and are voted on like others; a text whose vector is
 zero gets the labelled share of 1; equal similarities go to the lower sample row; without labels all scores
@@ -41,6 +43,8 @@ _MARK[[ord(c) for c in "#*$%&|<>!{}[]=~^_\\@"]] = True
 class Parameters:
     most_labelled: int = 4000  # labelled ids that are learnt from and sent out
     grams: int = 1024  # hash bins of shape runs
+    words: int = 1024  # hash bins of words
+    word_weight: float = 0.5
     levels: int = 12  # steps of each share
     share_weight: float = 4.0
     rank: int = 32
@@ -59,7 +63,7 @@ class Model:
 
 
 def n_terms(p: Parameters) -> int:
-    return p.grams + 4 * p.levels
+    return p.grams + p.words + 4 * p.levels
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> np.ndarray:
@@ -85,6 +89,10 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> np.ndar
     words = np.bincount(of, minlength=n)
     keys, counts = np.unique(np.stack([of.astype(np.uint64), C.Rolling(data).spans(start, end)]), axis=1, return_counts=True) if len(start) else (np.zeros((2, 0), np.uint64), np.zeros(0, int))
     owner = keys[0].astype(np.int64)
+    bins = np.bincount(owner * p.words + (keys[1] % np.uint64(p.words)).astype(np.int64), counts, minlength=n * p.words).reshape(n, p.words)
+    bins = np.log1p(bins)
+    norm = np.sqrt((bins * bins).sum(1, keepdims=True))
+    out[:, p.grams : p.grams + p.words] = p.word_weight * bins / np.where(norm > 0, norm, 1)
     top = np.zeros(n)
     np.maximum.at(top, owner, counts)
     some = np.maximum(words, 1)
@@ -97,7 +105,7 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> np.ndar
     ]
     for i, share in enumerate(shares):
         level = np.minimum((share * p.levels).astype(int), p.levels - 1)
-        out[np.arange(n), p.grams + i * p.levels + level] = p.share_weight / (4 if i == 3 else 1) / 10
+        out[np.arange(n), p.grams + p.words + i * p.levels + level] = p.share_weight / (4 if i == 3 else 1) / 10
     return out
 
 
@@ -125,6 +133,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.where(norm > 1e-12, x / np.where(norm > 1e-12, norm, 1), 0)
 
 
+def nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k greatest values, of equal ones the first: value and column make one whole number."""
+    bits = np.ascontiguousarray(sims, np.float32).view(np.int32).astype(np.int64)
+    key = np.where(bits < 0, -(bits & 0x7FFFFFFF), bits) * sims.shape[1] - np.arange(sims.shape[1])
+    return np.argpartition(-key, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(sims), 1))
+
+
 def vote(terms: np.ndarray, model: Model, p: Parameters) -> np.ndarray:
     """Similarity-weighted share of label 1 among each row's nearest labelled vectors."""
     out = np.empty(len(terms))
@@ -132,7 +147,7 @@ def vote(terms: np.ndarray, model: Model, p: Parameters) -> np.ndarray:
     for at in range(0, len(terms), p.block):
         v = unit((terms[at : at + p.block] * model.idf) @ model.basis)
         sims = v @ model.vectors.T
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(v), 1))
+        near = nearest(sims, k)
         weight = np.clip(np.take_along_axis(sims, near, 1).astype(np.float64), 0, 1) ** p.sharpness
         total = weight.sum(1)
         out[at : at + p.block] = np.where(total > 0, (weight * model.labels[near]).sum(1) / np.where(total > 0, total, 1), model.prior)

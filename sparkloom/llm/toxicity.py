@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts (P) and unlabelled texts (U) train a linear numpy classifier over hashed words. With a
+Confirmed toxic texts (P) and unlabelled texts (U) train a linear numpy classifier over hashed words, which tells a
+word that comes once from one that comes again. With a
 class prior p the risk is  p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)]);  where the bracket falls below
 zero the step goes against its gradient instead, so that the model cannot fit U as if it were all negative.
 
@@ -43,9 +44,9 @@ class Parameters:
     least_z: float = 4.0  # how many standard errors a word's share in P must lie from that in U
     least_texts: int = 3
     prior: float | None = None  # None: the share of label 1 among the rows that may be learnt from
-    steps: int = 300
+    steps: int = 800
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 1e-5
     gamma: float = 1.0
 
 
@@ -56,8 +57,12 @@ class Model:
     bias: float
 
 
+#: Odd multiplier that deals a word's second bin.
+AGAIN = 0x5BD1E995
+
+
 def word_bins(data: np.ndarray, offsets: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bin), once for each text and bin, sorted."""
+    """(text number, bin), once for each text and bin, sorted: a bin for each word, and one for each that comes again."""
     low = _LOWER[data]
     letter = _LETTER[low]
     edge = np.zeros(len(data) + 1, bool)
@@ -70,7 +75,10 @@ def word_bins(data: np.ndarray, offsets: np.ndarray, bins: int) -> tuple[np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = C.Rolling(low).spans(start, end) % np.uint64(bins)
     text = np.searchsorted(offsets, start, side="right") - 1
-    keys = np.unique(text * bins + hashes.astype(np.int64))
+    keys, times = np.unique(text * bins + hashes.astype(np.int64), return_counts=True)
+    # a word that comes again has a second bin
+    again = keys[times > 1]
+    keys = np.unique(np.concatenate((keys, again - again % bins + (again * AGAIN + 1) % bins)))
     return keys // bins, keys % bins
 
 
