@@ -5,12 +5,15 @@ Texts are sets of word shingles; two are linked where their Jaccard similarity r
 1. Each text gets the 128-bit hash of its word sequence and MinHash values. Equal texts become one row.
 2. MinHash bands find candidates. A bucket's least text is its leader, and texts are grouped by leader, so that a
    cluster of near copies is a few groups rather than one for each band. A pair belongs to the least leader that
-   both share, and is looked at there alone. Groups of more than `block` texts are cut into blocks, and pairs of
-   blocks go to different tasks: no task holds more than two blocks, and no pair is left out or emitted.
+   both share, and is looked at there alone. Groups of more than `wide` texts are cut into blocks, and pairs of
+   blocks go to different tasks: no task holds more than two blocks, and no pair is left out or emitted. What moves is
+   each signature once for every `wide` texts of its group: exact counts of links need every pair looked at.
 3. Within a group, MinHash values are compared a few at a time; a pair is dropped once the posterior probability
    (uniform prior) that its similarity reaches the threshold falls below `tolerance`.
-4. For groups with pairs left, the texts are fetched and these pairs verified exactly, from shingle incidence
-   products. Tasks return counts of links for each text and the edges of a spanning forest, not the pairs.
+4. For groups with pairs left, in blocks of `block` texts, the texts are fetched and these pairs verified exactly, from
+   shingle incidence products. One row of each text is fetched, by the hash that the first scan noted: its list is sent
+   to the documents where it is small enough for Spark's broadcast threshold, else both are shuffled. Tasks return
+   counts of links for each text and the edges of a spanning forest, not the pairs.
 5. Classes are the connected components of these edges, by alternating large-star and small-star rounds.
 
 A link of similarity 0.8 is missed by all bands with probability 4e-9 and dropped by a posterior below 1e-6.
@@ -29,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +51,8 @@ class Parameters:
     band_rows: int = 3
     tolerance: float = 1e-6
     step: int = 12  # MinHash values compared before the next look at the posterior
-    block: int = 256
+    wide: int = 1024  # texts of a block whose signatures are compared
+    block: int = 256  # texts of a block that are verified
     columns: int = 4096  # shingles in one incidence product
 
     @property
@@ -154,20 +159,24 @@ def intersections(sets: list[np.ndarray], others: list[np.ndarray], columns: int
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of rows with equal keys, from batches that are sorted by them."""
+    """Tables of rows with equal keys (none null), from batches that are sorted by them."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        rows = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys), strict=True))
-        cuts = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            new |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for start, stop in zip(cuts, cuts[1:], strict=False):
-            if start == stop:
-                continue
-            if held and rows[start] != last:
+            key = [c[start].as_py() for c in columns]
+            if held and key != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(start, stop - start))
-            last = rows[start]
+            last = key
     if held:
         yield pa.Table.from_batches(held)
 
@@ -213,13 +222,13 @@ def memberships(texts: DataFrame, p: Parameters) -> DataFrame:
 
 
 def active(members: DataFrame, texts: DataFrame, p: Parameters) -> DataFrame:
-    """(leader, bi, bj, side, pos, tid, alive): texts with pairs that the posterior leaves, in each pair of blocks.
+    """(leader, bi, bj, side, pos, tid, alive): texts with pairs that the posterior leaves, in each pair of small blocks.
 
     alive is, for the first block's texts, a mask over the positions of the second."""
-    sizes = members.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > p.block)
+    sizes = members.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > p.wide)
     lists = members.groupBy("tid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))  # at most `bands` of a text
     sizes = C.written(sizes, "large-groups")  # few: of the others nothing is looked up by leader
-    blocks = F.coalesce(F.ceil(F.col("n") / p.block), F.lit(1)).cast("int")
+    blocks = F.coalesce(F.ceil(F.col("n") / p.wide), F.lit(1)).cast("int")
     rows = members.join(sizes, "leader", "left").withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("tid"), F.col("nb")).cast("int"))
     rows = rows.join(lists, "tid").join(texts.select("tid", "sig"), "tid")
     # block b meets the blocks from itself on as the first of a pair, and those up to itself as the second
@@ -228,7 +237,7 @@ def active(members: DataFrame, texts: DataFrame, p: Parameters) -> DataFrame:
     keys = ["leader", "bi", "bj"]
     # memberships are dealt out evenly: of a large group, every pair of blocks is a key of its own
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "b", "tid")
-    spec = "leader binary, bi int, bj int, side int, pos int, tid binary, alive binary"
+    spec = "leader binary, bi long, bj long, side int, pos int, tid binary, alive binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, keys):
@@ -251,9 +260,14 @@ def active(members: DataFrame, texts: DataFrame, p: Parameters) -> DataFrame:
             mask = surviving(sig[first], sig[second], mask, p)
             if not mask.any():
                 continue
-            out = [(leader, bi, bj, 0, int(i), tids[first[i]], np.packbits(mask[i]).tobytes()) for i in np.flatnonzero(mask.any(1))]
-            out += [(leader, bi, bj, 1, int(j), tids[second[j]], None) for j in np.flatnonzero(mask.any(0))]
-            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            out, kinds = [], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            for a in range(0, len(first), p.block):
+                for z in range(0, len(second), p.block):
+                    part = mask[a : a + p.block, z : z + p.block]
+                    if part.any():
+                        own = leader, (bi << 32) + a, (bj << 32) + z  # names of the small blocks
+                        out += [(*own, 0, int(i), tids[first[a + i]], np.packbits(part[i]).tobytes()) for i in np.flatnonzero(part.any(1))]
+                        out += [(*own, 1, int(j), tids[second[z + j]], None) for j in np.flatnonzero(part.any(0))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in spec.split(", ")])
 
     return dealt.mapInArrow(run, spec)
@@ -273,27 +287,19 @@ def _roots(links: np.ndarray) -> np.ndarray:
 
 def verified(found: DataFrame, docs: DataFrame, texts: DataFrame, p: Parameters) -> DataFrame:
     """(tid, links, root): verified links of a text in a group, in documents, and a text of its component there."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    key = T.StructType([T.StructField("tid", T.BinaryType()), rows.schema["doc_id"], T.StructField("text", T.StringType())])
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.sliced(batches, "text"):
-            _, ends, whole = shingles(*C.utf8_view(batch.column(1)), p.words)
-            tid = pa.array([None if x else w.tobytes() for x, w in zip(np.diff(ends) == 0, whole, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([tid, batch.column(0), batch.column(1).cast(pa.string())], names=["tid", "doc_id", "text"])
-
-    # of equal texts, that of the least doc_id is fetched
-    wanted = found.join(texts.select("tid", "rep", "n_docs"), "tid")
-    on = (F.col("w.tid") == F.col("t.tid")) & F.col("w.rep").eqNullSafe(F.col("t.doc_id"))
-    full = wanted.alias("w").join(rows.mapInArrow(named, key).alias("t"), on).select("w.leader", "w.bi", "w.bj", "w.side", "w.pos", "w.tid", "w.alive", "w.n_docs", "t.text")
+    wanted = found.select("tid").distinct().join(texts.select("tid", "own.doc_id", "own.th"), "tid")
+    wanted = C.written(wanted, "wanted-texts")  # its size is known from here on, and Spark broadcasts it if it is small
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    on = F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.th") == F.col("t.th"))
+    # repeated rows of a text come down to one before they are dealt out
+    fetched = rows.alias("t").join(wanted.alias("w"), on).groupBy("w.tid").agg(F.first("t.text").alias("text"))
+    full = found.join(texts.select("tid", "n_docs"), "tid").join(fetched, "tid").select("leader", "bi", "bj", "side", "pos", "tid", "alive", "n_docs", "text")
     keys = ["leader", "bi", "bj"]
     dealt = full.repartition(*keys).sortWithinPartitions(*keys, "side", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, keys):
             side, pos = g.column("side").to_numpy(), g.column("pos").to_numpy()
-            fresh = np.concatenate(([True], (np.diff(side) != 0) | (np.diff(pos) != 0)))  # repeated rows of one document
-            g, side, pos = g.take(pa.array(np.flatnonzero(fresh))), side[fresh], pos[fresh]
             tids, n_docs, alive = g.column("tid").to_pylist(), g.column("n_docs").to_numpy(), g.column("alive").to_pylist()
             value, ends, _ = shingles(*C.utf8_view(g.column("text")), p.words)
             sets = [np.unique(value[ends[i] : ends[i + 1]]) for i in range(len(tids))]
@@ -324,7 +330,9 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root) for every node of an edge, root the least of its component, by large-star and small-star rounds.
 
     Neighbours' minima are sums made before the shuffle and joined back, so a node of any degree is no hot group."""
-    now = C.written(edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = C.fresh_dir(spark, "edges")
+    now = C.written(edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges", path)
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = print_of(now)
     while True:
@@ -333,7 +341,9 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = C.written(small, "edges")
+        done, path = path, C.fresh_dir(spark, "edges")
+        now = C.written(small, "edges", path)
+        C.remove(spark, done)
         this = print_of(now)
         if this == last:
             break
@@ -344,7 +354,7 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
 def row_classes(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, th, root, class_id, n_links) of every document; root names the class, null for a text without words."""
     members = C.written(signed(docs, p), "signatures")
-    texts = members.where("tid IS NOT NULL").groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("sig").alias("sig"))
+    texts = members.where("tid IS NOT NULL").groupBy("tid").agg(F.min("doc_id").alias("rep"), F.min(F.struct("th", "doc_id")).alias("own"), F.count("*").alias("n_docs"), F.first("sig").alias("sig"))
     texts = C.written(texts, "texts")
     groups = C.written(memberships(texts, p), "memberships")
     found = C.written(active(groups, texts, p), "active")

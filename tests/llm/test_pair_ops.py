@@ -61,11 +61,12 @@ def near_copies(seed, n, length=80):
     return out + [(1000 + i, words(500 + i, 50), "en", "b", 1) for i in range(30)]
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_ngram_join_equals_all_pairs(spark, block):
+@pytest.mark.parametrize(("wide", "block"), [(1024, 256), (40, 8), (8, 8)])
+def test_ngram_join_equals_all_pairs(spark, wide, block):
     rows = near_copies(7, 70) + [(i, t, "x", "y", 1) for i, t in [(2000, "a b"), (2001, "a  b"), (2002, None), (None, "a b c d e f"), (None, "a b c d e f")]]
+    rows += [rows[3]] * 40  # one document again and again
     df = spark.createDataFrame(rows, SCHEMA)
-    got = ngram_join.similarity_classes(df, ngram_join.Parameters(block=block)).collect()
+    got = ngram_join.similarity_classes(df, ngram_join.Parameters(wide=wide, block=block)).collect()
     assert sorted(map(tuple, got), key=str) == brute_classes(rows)
 
 
