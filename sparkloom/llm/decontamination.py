@@ -8,9 +8,11 @@ are joined with the items' windows word for word. Items of fewer than `window` w
 exactly their length, at every position.
 
 Scale: documents are scanned where they lie; a kept hash leaves a task only if an item has it. The items' hashes
-are broadcast up to `most_broadcast` of them (counted first); beyond, both sides are shuffled by hash. A place of
+are broadcast up to `most_broadcast` bytes (summed first); beyond, both sides are shuffled by hash. A place of
 a document meets at most one row in either join, however many items share a hash or a window, so nothing
-multiplies. Places are gathered by document and joined back to its text; they are bounded by its own length.
+multiplies; items are told by the sets of them that share windows, each once for a document. Places are gathered by
+document, bounded by its own length, and stored; where that table is small enough for Spark's broadcast threshold, the
+texts stay where they lie, else they are shuffled to it.
 
 Edges: null and empty texts have no words, are not contaminated and have the hash of an empty list; items without
 words mark nothing; repeated documents are judged alike; repeated item_ids count once, and an item without an id marks words but is
@@ -35,7 +37,7 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Parameters:
     window: int = 10
     gram: int = 6
-    most_broadcast: int = 200_000  # item hashes; each is about 60 bytes
+    most_broadcast: int = 32 << 20  # bytes of item hashes or windows that are sent to every task
 
 
 def words_of(text: Column) -> Column:
@@ -96,7 +98,10 @@ def item_windows(items: DataFrame, p: Parameters) -> DataFrame:
 
 
 def _sent(items: DataFrame, p: Parameters) -> DataFrame:
-    return F.broadcast(items) if items.count() <= p.most_broadcast else items
+    each = F.lit(64)  # a row's own bytes
+    if "window" in items.columns:
+        each = each + F.octet_length(F.concat_ws(" ", "window")) + 16 * F.size("window")
+    return F.broadcast(items) if (items.agg(F.sum(each)).first()[0] or 0) <= p.most_broadcast else items
 
 
 def found_places(docs: DataFrame, windows: DataFrame, p: Parameters) -> DataFrame:
@@ -124,6 +129,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, p: Parameters = Parameters(
     windows = C.written(item_windows(items, p), "item-windows")
     places = found_places(text, windows, p)
     places = places.groupBy("_doc").agg(F.collect_set(F.struct("start", "n")).alias("_places"))
+    places = C.written(places, "places")  # its size is known from here on
     back = text.join(places, "_doc").dropDuplicates(["_doc"])
 
     def windows_at(words: Column) -> Column:
@@ -139,7 +145,9 @@ def report(docs: DataFrame, items: DataFrame, p: Parameters = Parameters()) -> D
     """The registered query's columns for every document."""
     hits, _ = decontaminate(docs, items, p)
     owned = items.select(F.col("item_id").cast("string").alias("item_id"), F.explode(windows_of(F.col("text").cast("string"), p)).alias("window")).distinct()
-    found = hits.select("_doc", "window").distinct().join(owned, "window").groupBy("_doc").agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
+    owners = owned.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("owners"))
+    sets = hits.select("_doc", "window").distinct().join(owners, "window").select("_doc", "owners").distinct()
+    found = sets.groupBy("_doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("_items"))
     # spans are merged from left to right: a span adds what lies beyond the last end
     span = lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["n"]).alias("end"))
     add = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["end"]))).alias("n"), F.greatest(a["end"], x["end"]).alias("end"))
