@@ -1,7 +1,9 @@
 """WARC archives and globally ordered capture histories by external index merge.
 
-1. Pages are grouped by payload digest (counted before the shuffle, so that a payload that a third of all pages
-   share is one row from each task); the largest page_id of a digest is its response, others revisit it.
+1. Pages are grouped by payload digest (reduced before the shuffle, so that a payload that a third of all pages
+   share is one row from each task); the largest page_id of a digest is its response, others revisit it. Digests that
+   come more than once are a table of their own, without payloads; where it is small enough for Spark's broadcast
+   threshold the payloads stay where they lie, else they are joined with it by digest, hot ones split.
 2. Tasks stream records, a gzip member each, into archives in the shared folder. A file counts only when its
    task's row is in the manifest table, so files of lost or repeated attempts are never read.
 3. Tasks read the archives back in sequence, check payloads against their digests, and store each archive's
@@ -27,7 +29,6 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,30 +98,36 @@ def _clean(uri: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, n_bytes: int, digest: str, refers_to: int | None) -> bytes:
-    """A response, or, where payload is None, a revisit, whose HTTP head tells the full payload's length."""
+def record(name: str, page_id: int | None, url: str | None, payload: bytes | None, n_bytes: int, digest: str, refers_to: int | None, first_url: str | None) -> bytes:
+    """A response, or, where payload is None, a revisit, whose HTTP head tells the full payload's length, and its fields
+    the URL and time of the response. name is unlike that of any other record."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http + (payload or b"")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"]
     lines += [f"WARC-Date: {capture_time(page_id):%Y-%m-%dT%H:%M:%SZ}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
     if page_id is not None:
         lines.append(f"Page-Id: {page_id}")
     if payload is None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-Id: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-Id: {refers_to}", f"WARC-Refers-To-Date: {capture_time(refers_to):%Y-%m-%dT%H:%M:%SZ}"]
+        if first_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_clean(first_url)}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
 def resolve(pages: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """(page_id, url, html, n_bytes, digest, refers_to); html is null on revisits, refers_to on responses."""
+    """(page_id, url, html, n_bytes, digest, refers_to, first_url); html is null on revisits; refers_to and first_url,
+    the response's, are null on responses."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n_bytes"), F.sha1(html.cast("binary")).alias("digest"))
-    keepers = rows.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("keeper"))
-    same = rows.join(keepers.hint("shuffle_hash"), ["digest", "n_bytes"])
-    again = (F.col("n_bytes") >= p.least_payload) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return same.select("page_id", "url", F.when(~again, F.col("html")).alias("html"), "n_bytes", "digest", F.when(again, F.col("keeper")).alias("refers_to"))
+    keepers = rows.groupBy("digest", "n_bytes").agg(F.max(F.struct("page_id", "url")).alias("keeper"), F.count("*").alias("n"))
+    keepers = keepers.where(F.col("n") > 1).select("digest", "n_bytes", F.col("keeper.page_id").alias("keeper"), F.col("keeper.url").alias("keeper_url"), F.lit(True).alias("shared"))
+    same = rows.join(C.written(keepers, "shared-payloads"), ["digest", "n_bytes"], "left")
+    again = (F.col("n_bytes") >= p.least_payload) & F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    same = same.withColumn("again", again)
+    return same.select("page_id", "url", F.when(~F.col("again"), F.col("html")).alias("html"), "n_bytes", "digest", F.when(F.col("again"), F.col("keeper")).alias("refers_to"), F.when(F.col("again"), F.col("keeper_url")).alias("first_url"))
 
 
 def write_archives(resolved: DataFrame, p: Parameters = Parameters()) -> DataFrame:
@@ -141,9 +148,9 @@ def write_archives(resolved: DataFrame, p: Parameters = Parameters()) -> DataFra
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{folder}/{name}")
-                page_id, url, html, n_bytes, digest, refers_to = row
+                page_id, url, html, n_bytes, digest, refers_to, first_url = row
                 digest = base64.b32encode(bytes.fromhex(digest)).decode()
-                data = member(record(page_id, url, None if html is None else html.encode(), n_bytes, digest, refers_to))
+                data = member(record(f"{name}/{n}", page_id, url, None if html is None else html.encode(), n_bytes, digest, refers_to, first_url))
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= p.archive_bytes:
@@ -237,7 +244,8 @@ def read_runs(manifest: DataFrame, p: Parameters = Parameters()) -> DataFrame:
 
 
 def merge_runs(runs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """All captures in the order of URL key, timestamp and page_id, within and across partitions."""
+    """All captures in the order of URL key, timestamp and page_id, within and across partitions. The shuffle's external
+    sort brings each range's parts of the runs one after the other; their heads then play in the loser tree."""
     names = [x.split()[0] for x in CAPTURE.split(", ")]
     n = max(1, -(-runs.count() // p.range_rows))
 
@@ -246,7 +254,6 @@ def merge_runs(runs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
         if not got:
             return
         table = pa.Table.from_batches(got)
-        table = table.take(pc.sort_indices(table, [("run", "ascending"), ("place", "ascending")]))
         ids = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
         keys = list(zip(*(table.column(c).to_pylist() for c in ("url_key", "captured", "page_id")), range(len(ids)), strict=True))
         cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
@@ -255,7 +262,7 @@ def merge_runs(runs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
         yield from table.select(names).take(order).to_batches()
 
     dealt = runs.repartitionByRange(n, "url_key", "captured", "page_id")
-    return dealt.mapInArrow(run, CAPTURE)
+    return dealt.sortWithinPartitions("run", "place").mapInArrow(run, CAPTURE)
 
 
 def capture_histories(pages: DataFrame, p: Parameters = Parameters()) -> DataFrame:
