@@ -14,7 +14,6 @@ labels of both kinds the trees reject nothing; equal texts fare alike; empty tab
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +25,22 @@ from pyspark.sql import types as T
 
 from sparkloom.llm import _common as C
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-_SYMBOLS = re.compile(r"[^#*$%&|<>]+")
+#: Kinds of bytes: white space, first bytes of other characters, symbols, letters, capitals, marks that end a sentence, and
+#: other ASCII marks that don't end a word of prose.
+_SPACE, _CHAR, _SYMBOL, _LETTER, _CAPITAL, _END, _LOOSE = (1 << i for i in range(7))
+
+
+def _kinds() -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    space, alone = [*range(9, 14), 32], [*range(0x80), *range(0xC0, 0x100)]
+    letters = [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]
+    loose = [b for b in range(128) if not chr(b).isalnum() and b not in space and chr(b) not in ".,;:!?\"')"]
+    for flag, members in ((_SPACE, space), (_CHAR, [b for b in alone if b not in space]), (_SYMBOL, b"#*$%&|<>"), (_LETTER, letters), (_CAPITAL, range(65, 91)), (_END, b".!?"), (_LOOSE, loose)):
+        out[list(members)] |= flag
+    return out
+
+
+_KINDS = _kinds()
 WINDOW = 8
 #: Order of the statistics; the first five are also returned.
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "capital_share", "letter_share", "top_word_share", "end_mark_share", "loose_mark_share"]
@@ -72,11 +85,11 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def repeated(words: list[str]) -> tuple[int, int, int]:
+def repeated(words: list[bytes]) -> tuple[int, int, int]:
     """Words in windows that occur more than once, distinct words, count of the commonest word.
 
     Windows are named exactly: pairs of ids get ids of their own, three times over, which is 8 words."""
-    ids: dict[str, int] = {}
+    ids: dict[bytes, int] = {}
     name = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
     top = int(np.bincount(name).max()) if len(name) else 0
     n = len(words) - WINDOW + 1
@@ -97,24 +110,35 @@ def repeated(words: list[str]) -> tuple[int, int, int]:
     return int((np.cumsum(steps[:-1]) > 0).sum()), len(ids), top
 
 
-def statistics(text: str) -> list[float]:
-    words = _WORDS(text)
-    n = len(words)
-    chars = sum(map(len, words))
-    symbols = len(_SYMBOLS.sub("", text))
-    lines = [x for x in text.split("\n") if _WORDS(x)] if "\n" in text else ([text] if n else [])
-    dup = len(lines) - len(set(lines))
-    rep, distinct, top = repeated(words)
-    some, size = max(n, 1), max(chars, 1)
-    capitals = sum(map(str.isupper, text))
-    letters = sum(map(str.isalpha, text))
-    ends = sum(1 for w in words if w[-1] in ".!?")
-    loose = sum(1 for w in words if not w[-1].isalnum() and w[-1] not in ".,;:!?\"')")
-    return [n, chars, symbols, dup, rep, chars / some, symbols / size, dup / max(len(lines), 1), rep / some, distinct / some, capitals / size, letters / size, top / some, ends / some, loose / some]
+def repeats_of(text: bytes) -> tuple[int, int, int, int, int, int]:
+    """Words, lines with a word, lines of these equal to an earlier one, and what repeated() gives. bytes.split() and
+    strip() take just the white space that separates words."""
+    words = text.split()
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    return len(words), len(lines), len(lines) - len(set(lines)), *repeated(words)
+
+
+def statistics_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of STATISTICS for each text, from the texts' bytes. Letters are a-z, A-Z and characters beyond ASCII."""
+    n = len(offsets) - 1
+    kind = _KINDS[data]
+    sums = lambda flag: np.diff(np.concatenate(([0], np.cumsum((kind & flag) > 0)))[offsets])
+    inside = (kind & _SPACE) == 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    last = inside & (np.concatenate((~inside[1:], [True]))[: len(data)] | edge[1:])  # last bytes of words
+    ends = lambda flag: np.diff(np.concatenate(([0], np.cumsum(last & ((kind & flag) > 0))))[offsets])
+    own = np.array([repeats_of(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.float64).reshape(n, 6)
+    words, lines, dup, rep, distinct, top = own.T
+    chars, symbols = sums(_CHAR), sums(_SYMBOL)
+    some, size = np.maximum(words, 1), np.maximum(chars, 1)
+    shares = [chars / some, symbols / size, dup / np.maximum(lines, 1), rep / some, distinct / some, sums(_CAPITAL) / size, sums(_LETTER) / size, top / some, ends(_END) / some, ends(_LOOSE) / some]
+    return np.stack([words, chars, symbols, dup, rep, *shares], axis=1).astype(np.float64)
 
 
-def statistics_rows(texts: list[str | None]) -> np.ndarray:
-    return np.array([statistics(t or "") for t in texts], np.float64).reshape(len(texts), len(STATISTICS))
+def statistics(text: str | None) -> np.ndarray:
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    return statistics_rows(data, np.array([0, len(data)]))[0]
 
 
 class _Grower:
@@ -191,7 +215,7 @@ def train(x: np.ndarray, y: np.ndarray, p: Parameters) -> Trees | None:
 def _stats_with(carry: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.sliced(batches, "text"):
-            x = statistics_rows(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            x = statistics_rows(*C.utf8_view(batch.column(batch.schema.get_field_index("text"))))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATISTICS)), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(carry)), lists], names=[carry, "x"])
 
@@ -221,7 +245,7 @@ def apply_rules(docs: DataFrame, trees: Trees | None, p: Parameters = Parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.sliced(batches, "text"):
-            x = statistics_rows(batch.column(1).to_pylist())
+            x = statistics_rows(*C.utf8_view(batch.column(1)))
             failed = (x[:, 0] < p.least_words) | (100 * x[:, 4] > p.most_repeat_percent * x[:, 0])
             score = shared.value.score(x) if shared.value is not None else np.ones(len(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i].astype(np.int64)) for i in range(5)), pa.array(failed), pa.array(score), pa.array(~failed & (score >= p.threshold))], schema=pa.schema([batch.schema.field(0), *((c, pa.int64()) for c in longs), ("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())]))
