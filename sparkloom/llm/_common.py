@@ -166,14 +166,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: A second base and what it weighs each byte by, for hashes of 128 bits in all.
+POLY2 = 0xD1342543DE82EF95
+_BYTES2 = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
 class Rolling:
-    """Hashes of any byte spans of one buffer from prefix sums of a polynomial."""
+    """Hashes of any byte spans of one buffer from prefix sums of a polynomial; `second` gives independent ones."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
+    def __init__(self, data: np.ndarray, second: bool = False):
+        n, base = len(data), POLY2 if second else POLY
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(POLY, n), out=self.sums[1:])
-        self.inverse = powers(POLY_INV, n + 1)
+        weight = _BYTES2[data] if second else data.astype(np.uint64) + np.uint64(1)
+        np.cumsum(weight * powers(base, n), out=self.sums[1:])
+        self.inverse = powers(pow(base, -1, 1 << 64), n + 1)
 
     def every(self, width: int) -> np.ndarray:
         """The hash of each span of `width` bytes, as spans() gives it."""

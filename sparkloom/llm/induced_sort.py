@@ -2,16 +2,20 @@
 
 The shard is a row of byte strings, each closed by a sentinel. Suffixes are L (greater than the next) or S; the
 leftmost S of each run, S*, are sorted first: a first induction orders the S* substrings, equal ones get equal
-names, and the string of names is sorted in turn. A second induction, from the sorted S*, orders the L suffixes
-in ascending and the S suffixes in descending order, each from the suffix that follows it.
-
-Both inductions run on priority queues of (leading byte, rank of the next suffix): entries of a byte are put in
-the order of rank, so that a queue for each byte, first in first out, always gives the least. A queue holds
-positions and the common prefix with its last entry, and goes to disk by chunks once `memory` entries are held
-in all. The common prefix of two neighbours is 1 + the least of those between the suffixes that follow them.
-
-Order is by the first `depth` bytes at least, which is all that finding repeats of `depth` bytes needs; common
-prefixes are kept up to 255. The shard's bytes themselves and their types stay in memory, two bytes for each.
+names, and the string of names is sorted in the same way, by recursion, until all names differ. A second induction,
+from the sorted S*, orders the L suffixes in ascending and the S suffixes in descending order, each from the suffix
+that follows it.
+
+All inductions run on priority queues of (leading symbol, rank of the next suffix): entries of a symbol are put in
+the order of rank, so that a queue for each symbol, first in first out, always gives the least. Of names there may be
+as many as suffixes; there a queue serves a range of them, and what a range induces in itself is put in its place
+until nothing moves. A queue holds positions and the common prefix with its last entry, and once `memory` entries are
+held in all, they go to disk, in one file for all queues, of which each later reads its part. The common prefix of
+two neighbours is 1 + the least of those between the suffixes that follow them; that of S* neighbours, from which it
+starts, is compared.
+
+Common prefixes are kept up to 255. The shard's symbols and their types stay in memory, as do, one level at a time,
+S* positions and names; the suffixes do not.
 """
 
 from __future__ import annotations
@@ -26,59 +30,177 @@ from pyarrow.fs import FileSystem
 SYMBOLS = 257  # 0 is the sentinel, a byte b is b + 1
 
 
-class ByteQueues:
-    """Entries (position, common prefix) for each leading symbol; chunks on disk beyond `memory` entries."""
+class Queues:
+    """Entries (position, common prefix) for each of `n` queues; on disk beyond `memory` entries."""
 
-    def __init__(self, folder: str, memory: int):
+    def __init__(self, folder: str, memory: int, n: int = SYMBOLS):
         self.fs, path = FileSystem.from_uri(folder)
         self.path = f"{path}/queue-{uuid.uuid4().hex}"
         self.memory, self.held, self.files = memory, 0, 0
-        self.chunks: list[deque] = [deque() for _ in range(SYMBOLS)]
+        self.chunks: list[deque] = [deque() for _ in range(n)]
 
-    def put(self, symbol: int, position: np.ndarray, common: np.ndarray) -> None:
-        self.chunks[symbol].append((position, common))
+    def put(self, queue: int, position: np.ndarray, common: np.ndarray) -> None:
+        self.chunks[queue].append((position, common))
         self.held += len(position)
         if self.held > self.memory:
             self._spill()
 
     def _spill(self) -> None:
-        """Writes what each queue holds as one chunk; it stands after those that the queue has on disk already."""
+        """Writes what all queues hold to one file; a queue's part stands after those that it has on disk already."""
         if not self.files:
             self.fs.create_dir(self.path, recursive=True)
-        for queue in self.chunks:
-            inside = [x for x in queue if not isinstance(x, str)]
-            if not inside:
-                continue
-            name = f"{self.path}/{self.files}"
-            self.files += 1
-            position, common = (np.concatenate(x) for x in zip(*inside, strict=True))
-            with self.fs.open_output_stream(name) as out:
-                out.write(np.int64(len(position)).tobytes() + position.astype(np.int64).tobytes() + common.tobytes())
-            on_disk = [x for x in queue if isinstance(x, str)]
-            queue.clear()
-            queue.extend([*on_disk, name])
+        name, at = f"{self.path}/{self.files}", 0
+        self.files += 1
+        with self.fs.open_output_stream(name) as out:
+            for queue in self.chunks:
+                inside = []
+                while queue and len(queue[-1]) == 2:
+                    inside.append(queue.pop())
+                if not inside:
+                    continue
+                position, common = (np.concatenate(x) for x in zip(*reversed(inside), strict=True))
+                out.write(position.astype(np.int64).tobytes() + common.tobytes())
+                queue.append((name, at, len(position)))
+                at += 9 * len(position)
         self.held = 0
 
-    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """The next chunk of the symbol's entries, in order; None when there are none for now."""
-        queue = self.chunks[symbol]
-        if not queue:
+    def take(self, queue: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The next chunk of the queue's entries, in order; None when there are none for now."""
+        if not self.chunks[queue]:
             return None
-        entry = queue.popleft()
-        if isinstance(entry, str):
-            with self.fs.open_input_stream(entry) as f:
-                data = f.readall()
-            self.fs.delete_file(entry)
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            return np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint8, n, 8 + 8 * n)
+        entry = self.chunks[queue].popleft()
+        if len(entry) == 3:
+            name, at, n = entry
+            with self.fs.open_input_file(name) as f:
+                data = f.read_at(9 * n, at)
+            return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.uint8, n, 8 * n)
         self.held -= len(entry[0])
         return entry
 
+    def take_all(self, queue: int) -> np.ndarray:
+        """Positions of all the queue's entries, in order."""
+        out = []
+        while (got := self.take(queue)) is not None:
+            out.append(got[0])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
     def close(self) -> None:
         if self.files:
             self.fs.delete_dir(self.path)
 
 
+def types_of(s: np.ndarray) -> np.ndarray:
+    """True at S suffixes of s, whose end is less than all symbols, and at its end."""
+    n = len(s)
+    known = np.where(s[:-1] == s[1:], n, np.arange(n - 1)) if n > 1 else np.zeros(0, np.int64)
+    following = np.minimum.accumulate(known[::-1])[::-1]
+    small = np.ones(n + 1, bool)
+    if n:
+        at = np.minimum(following, n - 2)
+        small[: n - 1] = (following < n) & (s[at] < s[np.minimum(at + 1, n - 1)])
+        small[n - 1] = False
+    return small
+
+
+def _neighbours_equal(s: np.ndarray, a: np.ndarray, b: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> np.ndarray:
+    """Whether the substrings at a and b, with the symbol after each, are equal; s is read as -1 beyond its end."""
+    padded = np.append(s, -1)
+    same = np.flatnonzero(length_a == length_b)
+    equal, k = np.zeros(len(a), bool), 0
+    while len(same):
+        agree = padded[np.minimum(a[same] + k, len(s))] == padded[np.minimum(b[same] + k, len(s))]
+        done = agree & (k == length_a[same])
+        equal[same[done]] = True
+        same = same[agree & ~done]
+        k += 1
+    return equal
+
+
+class Names:
+    """A string of whole numbers 0 .. most, and the order of its suffixes by induction; its end is the least."""
+
+    def __init__(self, s: np.ndarray, folder: str, memory: int):
+        self.s, self.folder, self.memory, self.n = s, folder, memory, len(s)
+        self.small = types_of(s)
+        most = int(s.max()) + 1
+        self.width = -(-most // max(1, min(256, self.n // 4096)))  # symbols of a queue
+        self.ranges = -(-most // self.width)
+
+    def _settled(self, queued: np.ndarray, known: np.ndarray, low: int, ascending: bool) -> np.ndarray:
+        """Positions of one range's suffixes in order (greatest first if not ascending): those queued by other ranges,
+        those that they induce in this one, and, after both for each symbol, the known ones."""
+        own = np.zeros(0, np.int64)
+        while True:
+            position = np.concatenate((queued, own, known))
+            symbol = self.s[position] - low
+            symbol = symbol if ascending else self.width - symbol
+            position = position[np.argsort(symbol.astype(np.uint16) if self.width < 1 << 16 else symbol, kind="stable")]
+            before = position[position > 0] - 1
+            before = before[self.small[before] != ascending]
+            symbol = self.s[before]
+            new = before[(symbol >= low) & (symbol < low + self.width)]
+            if np.array_equal(new, own):
+                return position
+            own = new
+
+    def _put(self, queues: Queues, position: np.ndarray, here: int, ascending: bool) -> None:
+        before = position[position > 0] - 1
+        before = before[self.small[before] != ascending]
+        queue = self.s[before] // self.width
+        away = queue != here
+        before, queue = before[away], queue[away]
+        order = np.argsort(queue.astype(np.uint16), kind="stable")
+        before, queue = before[order], queue[order]
+        cuts = np.concatenate(([0], np.flatnonzero(queue[1:] != queue[:-1]) + 1, [len(queue)]))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < z:
+                queues.put(int(queue[a]), before[a:z], np.zeros(z - a, np.uint8))
+
+    def _induced(self, seeds: np.ndarray) -> np.ndarray:
+        """All suffixes in order, from S* suffixes in order."""
+        up, kept, down = (Queues(self.folder, self.memory, self.ranges) for _ in range(3))
+        cut = np.searchsorted(self.s[seeds] // self.width, np.arange(self.ranges + 1))
+        try:
+            self._put(up, np.array([self.n]), -1, True)
+            for k in range(self.ranges):
+                position = self._settled(up.take_all(k), seeds[cut[k] : cut[k + 1]], k * self.width, True)
+                self._put(up, position, k, True)
+                large = position[~self.small[position]]
+                kept.put(k, large[::-1], np.zeros(len(large), np.uint8))
+            out: list[np.ndarray] = []
+            for k in range(self.ranges - 1, -1, -1):
+                position = self._settled(down.take_all(k), kept.take_all(k), k * self.width, False)
+                self._put(down, position, k, False)
+                out.append(position)
+            return np.concatenate(out)[::-1]
+        finally:
+            for queues in (up, kept, down):
+                queues.close()
+
+    def order(self) -> np.ndarray:
+        if self.n < 2 or len(np.unique(self.s)) == self.n:
+            return np.argsort(self.s, kind="stable")
+        seeds = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
+        seeds = seeds[seeds < self.n]
+        if len(seeds) > 1:
+            loose = self._induced(seeds[np.argsort(self.s[seeds], kind="stable")])
+            seeds = seeds[named_order(self.s, seeds, loose, self.n, self.folder, self.memory)]
+        return self._induced(seeds)
+
+
+def named_order(s: np.ndarray, seeds: np.ndarray, loose: np.ndarray, n: int, folder: str, memory: int) -> np.ndarray:
+    """Numbers of the S* suffixes in order, from an order of all suffixes in which S* substrings are sorted."""
+    number = np.full(n + 1, -1, np.int64)
+    number[seeds] = np.arange(len(seeds))
+    order = number[loose]
+    order = order[order >= 0]
+    length = np.append(seeds[1:], n) - seeds
+    a, b = order[:-1], order[1:]
+    name = np.empty(len(seeds), np.int64)
+    name[order] = np.concatenate(([0], np.cumsum(~_neighbours_equal(s, seeds[a], seeds[b], length[a], length[b]))))
+    return Names(name, folder, memory).order()
+
+
 class RangeMinimum:
     """Least of any range of a row of bytes, by tables over powers of two."""
 
@@ -145,7 +267,7 @@ class Shard:
         out[alive] = self.depth
         return out
 
-    def _scan(self, ascending: bool, queues: ByteQueues, known: Callable, emit: Callable | None, values: bool) -> None:
+    def _scan(self, ascending: bool, queues: Queues, known: Callable, emit: Callable | None, values: bool) -> None:
         """Takes symbols in order; of each, the queue's entries and what `known` has of it; puts what they induce."""
         carry = np.full(SYMBOLS, 255, np.uint8)
         text = self.text
@@ -170,7 +292,7 @@ class Shard:
                     self._induce(position, common, carry, queues, ascending, values)
                     last = int(position[-1])
 
-    def _induce(self, position: np.ndarray, common: np.ndarray, carry: np.ndarray, queues: ByteQueues, ascending: bool, values: bool) -> None:
+    def _induce(self, position: np.ndarray, common: np.ndarray, carry: np.ndarray, queues: Queues, ascending: bool, values: bool) -> None:
         before = position - 1
         fits = (position > 0) & (self.small[before] != ascending)
         at = np.flatnonzero(fits)
@@ -206,8 +328,8 @@ class Shard:
         """From S* suffixes in order (seeds), all suffixes: out(position, common) from the greatest to the least."""
         symbol = self.text[seeds]
         cut = np.searchsorted(symbol, np.arange(SYMBOLS + 1))
-        kept = ByteQueues(self.folder, self.memory)  # L suffixes by symbol, ascending
-        queues = ByteQueues(self.folder, self.memory)
+        kept = Queues(self.folder, self.memory)  # L suffixes by symbol, ascending
+        queues = Queues(self.folder, self.memory)
         try:
             self._scan(True, queues, lambda c: [(seeds[cut[c] : cut[c + 1]], common[cut[c] : cut[c + 1]])], lambda p, x, kind: kept.put(int(self.text[p[0]]), p, x) if kind == "queue" else None, values)
 
@@ -232,7 +354,7 @@ class Shard:
             queues.close()
 
     def _sorted_seeds(self) -> np.ndarray:
-        """S* suffixes in the order of their first `depth` bytes at least."""
+        """S* suffixes in order."""
         seeds = self.seeds
         if len(seeds) < 2:
             return seeds
@@ -243,53 +365,7 @@ class Shard:
         found: list[np.ndarray] = []
         self._induction(loose, np.zeros(len(loose), np.uint8), False, lambda p, x: found.append(p[is_seed[p]]))
         order = np.concatenate(found)[::-1]
-        number = np.zeros(self.n + 1, np.int64)
-        number[seeds] = np.arange(len(seeds))
-        ends = np.append(seeds[1:], self.n)
-        length = ends - seeds
-        a, b = number[order[:-1]], number[order[1:]]
-        same = np.flatnonzero(length[a] == length[b])
-        k = 0
-        equal = np.zeros(len(a), bool)
-        while len(same):
-            i, j = seeds[a[same]] + k, seeds[b[same]] + k
-            agree = self.text[np.minimum(i, self.n)] == self.text[np.minimum(j, self.n)]
-            done = agree & (k == length[a[same]])
-            equal[same[done]] = True
-            same = same[agree & ~done]
-            k += 1
-        name = np.empty(len(seeds), np.int64)
-        name[number[order]] = np.concatenate(([0], np.cumsum(~equal)))
-        return seeds[self._names(name, length)]
-
-    def _names(self, name: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Order of the suffixes of the string of names: those that tie are named by twice as many S* substrings, until
-        all differ or reach `depth`. A name is the number of suffixes that stand before all those of that name."""
-        n, width = len(name), 1
-        counts = np.bincount(name)
-        name = (np.cumsum(counts) - counts)[name]
-        tied = np.flatnonzero(np.bincount(name, minlength=n)[name] > 1)
-        reach = length.copy()
-        while width < n:
-            tied = tied[reach[tied] < self.depth]
-            if not len(tied):
-                break
-            after = tied + width
-            nxt = np.where(after < n, name[np.minimum(after, n - 1)], -1)
-            order = np.lexsort((nxt, name[tied]))
-            tied, nxt = tied[order], nxt[order]
-            old = name[tied]
-            head = np.concatenate(([True], old[1:] != old[:-1]))
-            new = head | np.concatenate(([True], nxt[1:] != nxt[:-1]))
-            at = np.arange(len(tied))
-            offset = np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(head, at, 0))
-            reach_next = np.where(tied + width < n, reach[np.minimum(tied + width, n - 1)], self.depth)
-            name[tied] = old + offset
-            reach[tied] += reach_next
-            alone = new & np.concatenate((new[1:], [True]))
-            tied = tied[~alone]
-            width *= 2
-        return np.argsort(name, kind="stable")
+        return seeds[named_order(self.text[: self.n].astype(np.int32), seeds, order, self.n, self.folder, self.memory)]
 
     def repeated(self) -> np.ndarray:
         """True at each position whose first `depth` bytes lie in its string and occur at another position too."""
@@ -314,7 +390,7 @@ class Shard:
         return hit & (end - np.arange(self.n + 1) >= self.depth)
 
 
-def repeated_starts(strings: list[np.ndarray], depth: int, folder: str, memory: int = 4_000_000) -> list[np.ndarray]:
+def repeated_starts(strings: list[np.ndarray], depth: int, folder: str, memory: int = 200_000) -> list[np.ndarray]:
     """For each string, the starts of `depth`-byte strings that also start elsewhere in the shard."""
     if not strings:
         return []

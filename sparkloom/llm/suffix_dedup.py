@@ -5,15 +5,21 @@ A byte goes if a string of `depth` bytes that covers it starts anywhere else too
 1. Every window of `depth` bytes has a key, the least hash of its `gram`-byte strings: equal windows have equal
    keys. Neighbouring windows of one key are a run; there is one for about every 90 bytes. Runs are counted by
    key before the shuffle. A key with one run, whose least string is the only one of its hash in the text, holds no
-   repeat; a key whose runs are all of the same bytes holds nothing else.
+   repeat; a key whose runs are all of one content holds nothing else. Contents are told by two independent hashes,
+   128 bits in all, besides the key: that any two of 10^12 different runs of one key agree has a probability of 1e-15.
 2. Of the other keys, one run of each content is fetched from its text. Keys are dealt out, and tasks sort the
    suffixes of as many keys at a time as make up `shard_bytes`, by external induced sorting (induced_sort.py), whose
    common prefixes tell the windows that occur twice. A task holds less than twice `shard_bytes` of text.
-   Keys whose own runs are more, as those of a passage that many texts share, are not sorted: each of their windows
-   is a key of its own, named by the hashes of its two halves, and counted, so that no task holds all of a key.
-3. Intervals of windows go back to the runs' documents, are merged, and the texts are cut.
+3. Keys whose own runs are more, as those of a passage that many texts share, are dealt out by a second key before
+   they are sorted. A window holds its key's string at some offset; windows whose offsets lie within the same `width`
+   bytes of each other all hold the `depth` - `width` + 1 bytes in the middle. Equal windows agree in both, so offset
+   and middle name a narrower key, which splits runs of different surroundings. Those of one run only go, those of one
+   content are marked, the others sorted, or, if still too many, split once more with the last of `widths`: strings of
+   one such key differ in their first and last byte alone, and so are 65,536 at most, 13 MB.
+4. Intervals of windows go back to the runs' documents, are merged, and the texts are cut.
 
-Nothing is collected, dropped or sampled; the marks of a text are bounded by its own length.
+Nothing is collected, dropped or sampled; the marks of a text are bounded by its own length, those of repeated rows
+included.
 
 Edges: null texts are empty; texts shorter than `depth` stay whole; copies of a text all go, wherever they are at
 least `depth` long; a cut may fall within a character, and `remove_repeats` then drops its remaining bytes;
@@ -28,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +47,8 @@ class Parameters:
     depth: int = 200
     gram: int = 24
     shard_bytes: int = 2 << 20
-    queue_entries: int = 4_000_000
+    queue_entries: int = 200_000  # suffixes whose queues are in memory; further ones are on disk
+    widths: tuple[int, ...] = (16, 2)  # of offsets, by which a key larger than a shard is split, and split again
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -54,9 +61,9 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> tuple[np.ndarray, ...]:
-    """(text number, key, content hash, first window, last window, whether the key's string comes twice in the text)."""
+    """(text number, key, two content hashes, first window, last window, whether the key's string comes twice in the text)."""
     if len(data) < p.depth:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     roll = C.Rolling(data)
     gram = roll.every(p.gram)
     least = sliding_least(gram, p.depth - p.gram + 1)
@@ -89,18 +96,19 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> tuple[np.nd
     wanted = salted(key, owner)
     again = twice[np.minimum(np.searchsorted(twice, wanted), len(twice) - 1)] == wanted if len(twice) else np.zeros(len(first), bool)
     plain = constant[first]
-    content = roll.spans(first, np.where(plain, first, last) + p.depth)
+    end = np.where(plain, first, last) + p.depth
+    content, check = roll.spans(first, end), C.Rolling(data, second=True).spans(first, end)
     # of several such windows in a row, the first is a run for itself: the key then has two runs of one content
     more = np.flatnonzero(plain & (last > first))
     if len(more):
         split = lambda x, new: np.concatenate((x, new))
-        owner, key, content, again = (split(x, x[more]) for x in (owner, key, content, again))
+        owner, key, content, check, again = (split(x, x[more]) for x in (owner, key, content, check, again))
         tail = last[more].copy()
         last[more] = first[more]
         first, last = split(first, first[more] + 1), split(last, tail)
     again &= ~constant[first]
     base = offsets[owner]
-    return owner, key.view(np.int64), content.view(np.int64), first - base, last - base, again
+    return owner, key.view(np.int64), content.view(np.int64), check.view(np.int64), first - base, last - base, again
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -112,22 +120,25 @@ def _same_doc(a: str, b: str):
 
 
 def all_runs(docs: DataFrame, p: Parameters) -> DataFrame:
-    """(doc_id, th, key, content, lo, hi, twice) for the runs of every text."""
+    """(doc_id, th, key, content, check, lo, hi, twice) for the runs of every text."""
     rows = _keyed(docs)
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("th", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("key", "content")), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("twice", T.BooleanType())])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("th", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("key", "content", "check")), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("twice", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.sliced(batches, "text"):
-            owner, key, content, lo, hi, twice = runs_of(*C.utf8_view(batch.column(2)), p)
+            owner, key, content, check, lo, hi, twice = runs_of(*C.utf8_view(batch.column(2)), p)
             at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(content), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(twice.astype(bool))], names=["doc_id", "th", "key", "content", "lo", "hi", "twice"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(content), pa.array(check), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(twice.astype(bool))], names=["doc_id", "th", "key", "content", "check", "lo", "hi", "twice"])
 
     return rows.mapInArrow(run, schema)
 
 
+NAME = ["key", "content", "check"]  # of a string
+SPANS = "spans array<struct<s:int,e:int>>"
+
+
 def sorted_repeats(strings: DataFrame, folder: str, p: Parameters) -> DataFrame:
-    """(key, content, spans array<struct<s, e>>): of each string (key, content, bytes), the windows that occur elsewhere under its key."""
-    spec = "key long, content long, spans array<struct<s:int,e:int>>"
+    """(key, content, check, spans): of each string (NAME, bytes), the windows that occur elsewhere under its key."""
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def spans(starts: np.ndarray) -> list[dict]:
@@ -136,87 +147,117 @@ def sorted_repeats(strings: DataFrame, folder: str, p: Parameters) -> DataFrame:
         cut = np.flatnonzero(np.diff(starts) > 1)
         return [{"s": int(a), "e": int(b)} for a, b in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True)]
 
-    def sort(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        got = repeated_starts([np.frombuffer(x[2], np.uint8) for x in held], p.depth, folder, p.queue_entries)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held]), pa.array([x[1] for x in held]), pa.array([spans(x) for x in got], spans_type)], names=["key", "content", "spans"])
+    def sort(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        got = repeated_starts([np.frombuffer(x[3], np.uint8) for x in held], p.depth, folder, p.queue_entries)
+        return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in held]) for i in range(3)), pa.array([spans(x) for x in got], spans_type)], names=[*NAME, "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size, last = 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:2] == held[-1][:2]:
-                    continue  # repeated rows bring a run twice
                 if size >= p.shard_bytes and row[0] != last:
                     yield sort(held)
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[2]), row[0]
+                size, last = size + len(row[3]), row[0]
         if held:
             yield sort(held)
 
-    return strings.repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, spec)
+    return strings.select(*NAME, "bytes").repartition("key").sortWithinPartitions(*NAME).mapInArrow(run, "key long, content long, check long, " + SPANS)
 
 
-def counted_repeats(strings: DataFrame, p: Parameters) -> DataFrame:
-    """What sorted_repeats gives, for keys of any size: equal windows share the hashes (128 bits) of their two halves."""
-    half = (p.depth + 1) // 2
+def narrower(strings: DataFrame, width: int, p: Parameters) -> DataFrame:
+    """(of_key, of_content, of_check, s, e, key, content, check): each string's windows s .. e whose offsets of the key's
+    string lie within `width` bytes, under the narrower key of that offset and the bytes in their middle."""
+    names = [*(f"of_{c}" for c in NAME), "s", "e", *NAME]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.sliced(batches, "bytes"):
-            held = batch.column(2).to_pylist()
+            held = batch.column(4).to_pylist()
+            data = np.frombuffer(b"".join(held), np.uint8)
             size = np.array([len(x) for x in held], np.int64)
+            start = np.cumsum(size) - size
+            key = batch.column(3).to_numpy().view(np.uint64)
+            roll = C.Rolling(data)
+            owner = np.repeat(np.arange(len(held)), size)
+            # where the key's string stands next, from each byte on; each window of a run holds it
+            gram = np.concatenate((roll.every(p.gram), np.zeros(p.gram - 1, np.uint64)))
+            here = np.where(gram == key[owner], np.arange(len(data)), len(data))
+            following = np.minimum.accumulate(here[::-1])[::-1]
             n = size - p.depth + 1
-            owner = np.repeat(np.arange(len(held)), n)
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            first = (np.cumsum(size) - size)[owner] + at
-            hashes = C.Rolling(np.frombuffer(b"".join(held), np.uint8)).every(half).view(np.int64)
-            own = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int32()), pa.array(hashes[first]), pa.array(hashes[first + p.depth - half])], names=["key", "content", "at", "h1", "h2"])
-
-    strings = strings.groupBy("key", "content").agg(F.min("bytes").alias("bytes"))  # repeated rows bring a run twice
-    windows = C.written(strings.mapInArrow(run, "key long, content long, at int, h1 long, h2 long"), "windows")
-    again = windows.groupBy("key", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = windows.join(again, ["key", "h1", "h2"]).select("key", "content", "at")
-    row = F.row_number().over(Window.partitionBy("key", "content").orderBy("at"))  # at most a run's windows
-    spans = hits.withColumn("island", F.col("at") - row).groupBy("key", "content", "island").agg(F.min("at").alias("s"), F.max("at").alias("e"))
-    return spans.groupBy("key", "content").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+            of = np.repeat(np.arange(len(held)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)  # windows, counted in their strings
+            place = following[start[of] + at]
+            step = (place - start[of] - at) // width
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1]) | (step[1:] != step[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(of)) - 1
+            base = start[of[first]]
+            middle = place[first] - step[first] * width  # its first byte
+            narrow = C.mix64(roll.spans(middle, middle - width + 1 + p.depth) ^ C.mix64(key[of[first]] + step[first].astype(np.uint64)))
+            low, high = base + at[first], base + at[last] + p.depth
+            content, check = roll.spans(low, high), C.Rolling(data, second=True).spans(low, high)
+            own = pa.array(of[first])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(3)), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), *(pa.array(x.view(np.int64)) for x in (narrow, content, check))], names=names)
+
+    return strings.select(*NAME, "gram", "bytes").mapInArrow(run, ", ".join(f"{c} {'int' if c in 'se' else 'long'}" for c in names))
+
+
+def repeats_among(strings: DataFrame, folder: str, p: Parameters, widths: tuple[int, ...]) -> DataFrame:
+    """(key, content, check, spans): of each string (NAME, gram, bytes), each once, the windows that occur elsewhere under its key, or, under
+    narrower keys, in it too."""
+    size = strings.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size"))
+    large = C.written(size.where(F.col("size") > p.shard_bytes).select("key"), "large-keys")
+    if not widths or large.isEmpty():
+        return sorted_repeats(strings, folder, p)
+    small = sorted_repeats(strings.join(large, "key", "left_anti"), folder, p)
+    strings = strings.join(large, "key", "left_semi")
+    parts = C.written(narrower(strings, widths[0], p), "narrower-runs")
+    each = parts.groupBy(*NAME).agg(F.count("*").alias("n"), F.min(F.struct(*(f"of_{c}" for c in NAME), "s", "e")).alias("r"))
+    keys = each.groupBy("key").agg(F.sum("n").alias("runs"), F.count("*").alias("contents")).where("runs > 1")
+    each = C.written(each.join(keys, "key").select(*NAME, "r", (F.col("n") > 1).alias("many"), (F.col("contents") > 1).alias("mixed")), "narrower-contents")
+    wanted = each.where("mixed").select(*(F.col(c).alias(f"own_{c}") for c in NAME), *(F.col(f"r.of_{c}").alias(c) for c in NAME), "r.s", "r.e")
+    cut = F.substring("bytes", F.col("s") + 1, F.col("e") - F.col("s") + p.depth)
+    found = wanted.join(strings, NAME).select(*(F.col(f"own_{c}").alias(c) for c in NAME), "gram", cut.alias("bytes"))
+    inner = C.written(repeats_among(C.written(found, "narrower-strings"), folder, p, widths[1:]), "narrower-sorted")
+    got = parts.join(each.drop("r").join(inner, NAME, "left"), NAME)
+    whole = got.where("many").select(*(f"of_{c}" for c in NAME), "s", "e")
+    some = got.where("NOT many").select(*(f"of_{c}" for c in NAME), F.col("s").alias("base"), F.explode("spans").alias("x"))
+    marked = whole.unionByName(some.select(*(f"of_{c}" for c in NAME), (F.col("base") + F.col("x.s")).alias("s"), (F.col("base") + F.col("x.e")).alias("e")))
+    own = marked.groupBy(*(F.col(f"of_{c}").alias(c) for c in NAME)).agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # a run's windows at most
+    return small.unionByName(own)
 
 
 def _strings(docs: DataFrame, runs: DataFrame, p: Parameters) -> DataFrame:
-    """(key, content, bytes) of the runs, fetched from their texts."""
-    lists = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "content", "lo", "hi")).alias("own"))
-    texts = _keyed(docs).alias("d").join(lists.alias("l"), _same_doc("d", "l")).select("d.text", "l.own")
+    """(key, content, check, gram, bytes) of the runs, fetched from their texts, each once; gram is what the key is the hash of."""
+    lists = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*NAME, "lo", "hi")).alias("own"))
+    texts = _keyed(docs).alias("d").join(lists.alias("l"), _same_doc("d", "l")).select("d.doc_id", "d.th", "d.text", "l.own")
+    texts = texts.dropDuplicates(["doc_id", "th"])  # repeated rows
     text = F.col("text").cast("binary")
     strings = texts.select(text.alias("text"), F.explode("own").alias("x"))
-    return strings.select("x.key", "x.content", F.substring("text", F.col("x.lo") + 1, F.col("x.hi") - F.col("x.lo") + p.depth).alias("bytes"))
+    return strings.select("x.key", "x.content", "x.check", F.col("x.key").alias("gram"), F.substring("text", F.col("x.lo") + 1, F.col("x.hi") - F.col("x.lo") + p.depth).alias("bytes"))
 
 
 def marks(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """(doc_id, th, spans array<struct<s, e>>): for texts with repeats, first and last of neighbouring repeated windows."""
     spark = docs.sparkSession
-    kinds = all_runs(docs, p).groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1"), F.max("twice").alias("again"))
-    kinds = kinds.where("n > 1 OR again").select("key", ((F.col("n") > 1) & (F.col("c0") == F.col("c1"))).alias("whole"))
+    kinds = all_runs(docs, p).groupBy("key").agg(F.count("*").alias("n"), *(f(c).alias(f"{a}_{c}") for c in ("content", "check") for a, f in (("least", F.min), ("most", F.max))), F.max("twice").alias("again"))
+    one = (F.col("least_content") == F.col("most_content")) & (F.col("least_check") == F.col("most_check"))
+    kinds = kinds.where("n > 1 OR again").select("key", ((F.col("n") > 1) & one).alias("whole"))
     found = C.written(all_runs(docs, p).drop("twice").join(kinds, "key"), "repeat-runs")
-    mixed = found.where("NOT whole").groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("th", "doc_id", "lo", "hi")).alias("r"))
-    mixed = C.written(mixed.select("key", "content", (F.col("n") > 1).alias("many"), F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "r.lo", "r.hi"), "mixed-runs")
-    size = (F.col("hi") - F.col("lo") + p.depth).cast("long")
-    large = C.written(mixed.groupBy("key").agg(F.sum(size).alias("size")).where(F.col("size") > p.shard_bytes).select("key"), "large-keys")
-    queues = C.fresh_dir(spark, "queues")
-    if large.isEmpty():
-        repeats = sorted_repeats(_strings(docs, mixed, p), queues, p)
-    else:
-        repeats = sorted_repeats(_strings(docs, mixed.join(large, "key", "left_anti"), p), queues, p)
-        repeats = repeats.unionByName(counted_repeats(_strings(docs, mixed.join(large, "key", "left_semi"), p), p))
-    repeats = C.written(repeats, "sorted-runs")
-    repeats = repeats.groupBy("key", "content").agg(F.first("spans").alias("spans"))
-    parts = mixed.select("key", "content", "many").join(repeats, ["key", "content"], "left")
+    mixed = found.where("NOT whole").groupBy(*NAME).agg(F.count("*").alias("n"), F.min(F.struct("th", "doc_id", "lo", "hi")).alias("r"))
+    mixed = C.written(mixed.select(*NAME, (F.col("n") > 1).alias("many"), F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "r.lo", "r.hi"), "mixed-runs")
+    strings = C.written(_strings(docs, mixed, p), "mixed-strings")
+    repeats = C.written(repeats_among(strings, C.fresh_dir(spark, "queues"), p, p.widths), "sorted-runs")
+    parts = mixed.select(*NAME, "many").join(repeats, NAME, "left")
     whole = found.where("whole").select("doc_id", "th", F.col("lo").alias("s"), F.col("hi").alias("e"))
-    some = found.where("NOT whole").join(parts, ["key", "content"])
+    some = found.where("NOT whole").join(parts, NAME)
     every = some.where("many").select("doc_id", "th", F.col("lo").alias("s"), F.col("hi").alias("e"))
     cut = some.where("NOT many").select("doc_id", "th", "lo", F.explode("spans").alias("x")).select("doc_id", "th", (F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))
     rows = whole.unionByName(every).unionByName(cut)
-    return C.written(rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "marks")
+    return C.written(rows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "marks")
 
 
 def kept_parts(n: int, spans: list[dict] | None, depth: int) -> list[tuple[int, int]]:
