@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from tokenizers import pre_tokenizers
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,12 +68,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def read_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class PrefixCounter:
     """Token counts of all prefixes of texts under one tokenizer file."""
 
-    def __init__(self, path: str, p: Parameters = Parameters()):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, path: str, p: Parameters = Parameters(), data: bytes | None = None):
+        spec = json.loads(read_file(path) if data is None else data)
         kind, model = spec["pre_tokenizer"] or {}, spec["model"]
         if model["type"] != "BPE" or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True) or spec.get("normalizer"):
             raise ValueError("only plain byte-level BPE files are supported")
@@ -264,10 +269,14 @@ class PrefixCounter:
         return text[: int(fits[-1])] if len(fits) else ""
 
 
-@lru_cache(maxsize=2)
-def counter_of(path: str, p: Parameters) -> PrefixCounter:
-    """One counter for each worker process, which its tasks share."""
-    return PrefixCounter(path, p)
+_COUNTERS: dict[tuple[str, Parameters], PrefixCounter] = {}
+
+
+def counter_of(path: str, p: Parameters, shared: Broadcast) -> PrefixCounter:
+    """One counter for each worker process, which its tasks share, from the file's bytes, which the driver read."""
+    if (path, p) not in _COUNTERS:
+        _COUNTERS[path, p] = PrefixCounter(path, p, shared.value)
+    return _COUNTERS[path, p]
 
 
 def with_prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", p: Parameters = Parameters()) -> DataFrame:
@@ -275,8 +284,10 @@ def with_prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema[id_col], T.StructField("piece_ends", T.ArrayType(T.IntegerType())), T.StructField("piece_tokens", T.ArrayType(T.IntegerType()))])
 
+    shared = docs.sparkSession.sparkContext.broadcast(read_file(path))  # a vocabulary file, some MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(path, p)
+        counter = counter_of(path, p, shared)
         for batch in C.sliced(batches, "text"):
             found = [counter.boundaries(t or "") for t in batch.column(1).to_pylist()]
             lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
@@ -285,13 +296,26 @@ def with_prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, schema)
 
 
+def within_budget(counts: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_chars, n_tokens): of each text, the longest run of whole pieces from its start of at most `most` tokens.
+
+    Looked up in what with_prefix_counts() gave, stored or not; no text is read or encoded again. Of a text cut there, the
+    library's count is n_tokens unless the next piece is white space that the last one would have taken in."""
+    pairs = F.arrays_zip(F.col("piece_ends").alias("n_chars"), F.col("piece_tokens").alias("n_tokens"))
+    fits = F.filter(pairs, lambda x: x["n_tokens"] <= most)
+    last = F.coalesce(F.try_element_at(fits, F.lit(-1)), F.struct(F.lit(0).alias("n_chars"), F.lit(0).alias("n_tokens")))
+    return counts.select(id_col, last.alias("last")).select(id_col, "last.n_chars", "last.n_tokens")
+
+
 def truncated(docs: DataFrame, path: str, most: int, id_col: str = "doc_id", text_col: str = "text", p: Parameters = Parameters()) -> DataFrame:
     """(id, text): each text's longest prefix of at most `most` tokens."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
+    shared = docs.sparkSession.sparkContext.broadcast(read_file(path))  # a vocabulary file, some MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter_of(path, p).truncate(t or "", most) for t in batch.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter_of(path, p, shared).truncate(t or "", most) for t in batch.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("text", T.StringType())]))
 
@@ -301,8 +325,10 @@ def token_counts(docs: DataFrame, path: str, p: Parameters = Parameters()) -> Da
     rows = docs.select("doc_id", "text")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
+    shared = docs.sparkSession.sparkContext.broadcast(read_file(path))  # a vocabulary file, some MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(path, p)
+        counter = counter_of(path, p, shared)
         for batch in C.sliced(batches, "text"):
             n_bytes = np.diff(C.utf8_view(batch.column(1))[1])
             n_tokens = np.array([counter.total(t or "") for t in batch.column(1).to_pylist()], np.int64)

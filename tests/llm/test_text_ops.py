@@ -195,6 +195,9 @@ def test_token_counts(spark, edge_docs, no_docs, library):
     assert all(r.n_tokens == library(texts[r.doc_id]) for r in token_counts.token_counts(docs, PATH).collect())
     ends = token_counts.with_prefix_counts(docs.limit(5), PATH).collect()
     assert all(r.piece_ends[-1] == len(texts[r.doc_id]) and r.piece_tokens[-1] == library(texts[r.doc_id]) for r in ends)
+    for r in token_counts.within_budget(token_counts.with_prefix_counts(docs, PATH), 50).collect():
+        assert r.n_tokens <= 50 and library(texts[r.doc_id][: r.n_chars]) == r.n_tokens
+        assert r.n_chars == len(texts[r.doc_id]) or library(texts[r.doc_id][: r.n_chars + 40]) > 40
     assert all(library(r.text) <= 50 for r in token_counts.truncated(docs.limit(5), PATH, 50).collect())
     assert token_counts.token_counts(no_docs, PATH).count() == 0
     assert edge_docs.select(F.col("doc_id")).count() == len(got)
