@@ -11,9 +11,9 @@ Texts are sets of word shingles; two are linked where their Jaccard similarity r
 3. Within a group, MinHash values are compared a few at a time; a pair is dropped once the posterior probability
    (uniform prior) that its similarity reaches the threshold falls below `tolerance`.
 4. For groups with pairs left, in blocks of `block` texts, the texts are fetched and these pairs verified exactly, from
-   shingle incidence products. One row of each text is fetched, by the hash that the first scan noted: its list is sent
-   to the documents where it is small enough for Spark's broadcast threshold, else both are shuffled. Tasks return
-   counts of links for each text and the edges of a spanning forest, not the pairs.
+   shingle incidence products. One row of each text is fetched, by the hash that the first scan noted, in a shuffle of
+   both sides whatever their sizes. Tasks return counts of links for each text and the edges of a spanning forest, not
+   the pairs.
 5. Classes are the connected components of these edges, by alternating large-star and small-star rounds.
 
 A link of similarity 0.8 is missed by all bands with probability 4e-9 and dropped by a posterior below 1e-6.
@@ -288,11 +288,10 @@ def _roots(links: np.ndarray) -> np.ndarray:
 def verified(found: DataFrame, docs: DataFrame, texts: DataFrame, p: Parameters) -> DataFrame:
     """(tid, links, root): verified links of a text in a group, in documents, and a text of its component there."""
     wanted = found.select("tid").distinct().join(texts.select("tid", "own.doc_id", "own.th"), "tid")
-    wanted = C.written(wanted, "wanted-texts")  # its size is known from here on, and Spark broadcasts it if it is small
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     on = F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.th") == F.col("t.th"))
     # repeated rows of a text come down to one before they are dealt out
-    fetched = rows.alias("t").join(wanted.alias("w"), on).groupBy("w.tid").agg(F.first("t.text").alias("text"))
+    fetched = rows.alias("t").join(wanted.alias("w").hint("merge"), on).groupBy("w.tid").agg(F.first("t.text").alias("text"))
     full = found.join(texts.select("tid", "n_docs"), "tid").join(fetched, "tid").select("leader", "bi", "bj", "side", "pos", "tid", "alive", "n_docs", "text")
     keys = ["leader", "bi", "bj"]
     dealt = full.repartition(*keys).sortWithinPartitions(*keys, "side", "pos")
