@@ -89,7 +89,7 @@ def bucketed(slim: DataFrame, buckets: int) -> DataFrame:
     level = F.floor(8 * F.log2("_weight")).cast("int")
     levels = slim.groupBy("_source", level.alias("_level")).agg(F.count("*").alias("_n"), F.avg("_weight").alias("_w"))
     mixture = levels.groupBy("_source").agg(F.sum("_n").alias("_all"), F.collect_list(F.struct("_n", "_w")).alias("_levels"))  # some 17,000 levels at most
-    rows = _join_source(slim, mixture, [])
+    rows = _join_source(slim, C.written(mixture, "mix-weights"), [])  # its size is known from here on: rows stay where they are
     below = F.aggregate("_levels", F.lit(0.0), lambda a, x: a + x["_n"] * (1 - F.exp(-x["_w"] * F.col("_key")))) / F.col("_all")
     return rows.withColumn("_bucket", F.least(F.floor(below * buckets), F.lit(buckets - 1)).cast("int")).drop("_all", "_levels")
 
