@@ -43,7 +43,7 @@ _MARK[[ord(c) for c in "#*$%&|<>!{}[]=~^_\\@"]] = True
 class Parameters:
     most_labelled: int = 4000  # labelled ids that are learnt from and sent out
     grams: int = 1024  # hash bins of shape runs
-    words: int = 1024  # hash bins of words
+    words: int = 512  # hash bins of words
     word_weight: float = 0.5
     levels: int = 12  # steps of each share
     share_weight: float = 4.0
