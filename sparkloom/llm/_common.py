@@ -160,10 +160,10 @@ def powers(base: int, n: int) -> np.ndarray:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 #: A second base and what it weighs each byte by, for hashes of 128 bits in all.

@@ -8,8 +8,8 @@ that follows it.
 
 All inductions run on priority queues of (leading symbol, rank of the next suffix): entries of a symbol are put in
 the order of rank, so that a queue for each symbol, first in first out, always gives the least. Of names there may be
-as many as suffixes; there a queue serves a range of them, and what a range induces in itself is put in its place
-until nothing moves. A queue holds positions and the common prefix with its last entry, and once `memory` entries are
+as many as suffixes; there a queue serves a range of them, and what a range induces in itself is ranked by doubling.
+A queue holds positions and the common prefix with its last entry, and once `memory` entries are
 held in all, they go to disk, in one file for all queues, of which each later reads its part. The common prefix of
 two neighbours is 1 + the least of those between the suffixes that follow them; that of S* neighbours, from which it
 starts, is compared.
@@ -125,23 +125,47 @@ class Names:
         most = int(s.max()) + 1
         self.width = -(-most // max(1, min(256, self.n // 4096)))  # symbols of a queue
         self.ranges = -(-most // self.width)
+        # where neighbours of one type and range begin, from which each entry before them is induced in its own range
+        kind = s // self.width * 2 + self.small[: self.n]
+        self.begin = np.maximum.accumulate(np.where(np.append(True, kind[1:] != kind[:-1]), np.arange(self.n), 0))
+        self.rank = np.zeros(self.n + 1, np.int64)
 
     def _settled(self, queued: np.ndarray, known: np.ndarray, low: int, ascending: bool) -> np.ndarray:
-        """Positions of one range's suffixes in order (greatest first if not ascending): those queued by other ranges,
-        those that they induce in this one, and, after both for each symbol, the known ones."""
-        own = np.zeros(0, np.int64)
-        while True:
-            position = np.concatenate((queued, own, known))
-            symbol = self.s[position] - low
-            symbol = symbol if ascending else self.width - symbol
-            position = position[np.argsort(symbol.astype(np.uint16) if self.width < 1 << 16 else symbol, kind="stable")]
-            before = position[position > 0] - 1
-            before = before[self.small[before] != ascending]
-            symbol = self.s[before]
-            new = before[(symbol >= low) & (symbol < low + self.width)]
-            if np.array_equal(new, own):
-                return position
-            own = new
+        """Positions of one range's suffixes in order (greatest first if not ascending). Of a symbol come first those
+        queued by other ranges, then those that the range induces in itself, by the rank of the next suffix, then the known
+        ones. The second kind stands in chains before entries of the others, which give their ranks by doubling."""
+        entries = np.concatenate((queued, known))
+        before = entries[entries > 0] - 1
+        symbol = self.s[before]
+        before = before[(self.small[before] != ascending) & (symbol >= low) & (symbol < low + self.width)]
+        length = before + 1 - self.begin[before]
+        own = np.repeat(before + 1, length) - np.arange(1, int(length.sum()) + 1) + np.repeat(np.cumsum(length) - length, length)
+        position = np.concatenate((queued, own, known))
+        symbol = self.s[position] - low
+        symbol = symbol if ascending else self.width - symbol
+        order = np.argsort(symbol.astype(np.uint16) if self.width < 1 << 16 else symbol, kind="stable")
+        position, symbol = position[order], symbol[order]
+        if not len(own):
+            return position
+        # neighbours of one symbol in the second kind share a rank, the place of their first, until they are told apart
+        inner = (order >= len(queued)) & (order < len(queued) + len(own))
+        fresh = np.ones(len(position), bool)
+        fresh[1:] = (symbol[1:] != symbol[:-1]) | ~inner[1:] | ~inner[:-1]
+        self.rank[position] = np.maximum.accumulate(np.where(fresh, np.arange(len(position)), 0))
+        tied = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
+        step = 1
+        while len(tied):
+            at = position[tied]
+            group, following = self.rank[at], self.rank[at + step]
+            order = np.lexsort((following, group))
+            at, group, following = at[order], group[order], following[order]
+            position[tied] = at
+            fresh = np.ones(len(tied), bool)
+            fresh[1:] = (group[1:] != group[:-1]) | (following[1:] != following[:-1])
+            self.rank[at] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
+            tied = tied[~fresh | np.append(~fresh[1:], False)]
+            step *= 2
+        return position
 
     def _put(self, queues: Queues, position: np.ndarray, here: int, ascending: bool) -> None:
         before = position[position > 0] - 1

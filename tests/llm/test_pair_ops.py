@@ -158,6 +158,13 @@ def test_induced_sort_equals_brute_force(seed):
         assert starts.tolist() == [i for i in range(len(x) - depth + 1) if seen[bytes(x[i : i + depth])] > 1]
 
 
+def test_induced_sort_of_a_long_period():
+    """A string of one short period names all its S* substrings alike: its chains are ranked by doubling, not step by step."""
+    data = np.frombuffer(b"ab" * 200_000 + b"c", np.uint8)
+    (starts,) = repeated_starts([data], 200, "file:///tmp/sparkloom-test-queues")
+    assert np.array_equal(starts, np.arange(len(data) - 200))
+
+
 def decontamination_by_sql(docs, items):
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toArrow())
