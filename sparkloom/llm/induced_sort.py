@@ -226,25 +226,22 @@ def named_order(s: np.ndarray, seeds: np.ndarray, loose: np.ndarray, n: int, fol
 
 
 class RangeMinimum:
-    """Least of any range of a row of bytes, by tables over powers of two."""
+    """Least of any range of a row of bytes, by tables over powers of two, which stand one after another."""
 
     def __init__(self, values: np.ndarray):
-        self.levels = [values]
-        width = 1
+        levels, width, self.begin = [values], 1, [0]
         while 2 * width <= len(values):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-width], last[width:]))
+            last = levels[-1]
+            self.begin.append(self.begin[-1] + len(last))
+            levels.append(np.minimum(last[:-width], last[width:]))
             width *= 2
+        self.table, self.begin = np.concatenate(levels), np.array(self.begin)
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Least of values[first .. last], inclusive."""
         level = np.frexp(last - first + 1)[1] - 1
-        out = np.empty(len(first), np.uint8)
-        for k in np.unique(level):
-            at = level == k
-            table = self.levels[k]
-            out[at] = np.minimum(table[first[at]], table[last[at] - (1 << int(k)) + 1])
-        return out
+        begin = self.begin[level]
+        return np.minimum(self.table[begin + first], self.table[begin + last - (1 << level) + 1])
 
 
 class Shard:

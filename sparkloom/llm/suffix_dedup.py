@@ -42,6 +42,10 @@ from sparkloom.llm import _common as C
 from sparkloom.llm.induced_sort import repeated_starts
 
 
+#: Text bytes whose runs are found at once, so that the arrays stay in a core's cache; a longer text is taken whole.
+RUN_BYTES = 1 << 18
+
+
 @dataclass(frozen=True)
 class Parameters:
     depth: int = 200
@@ -60,8 +64,26 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - have)], values[width - have :]) if width > have else values
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> tuple[np.ndarray, ...]:
-    """(text number, key, two content hashes, first window, last window, whether the key's string comes twice in the text)."""
+def comes_twice(gram: np.ndarray, text: np.ndarray, offsets: np.ndarray, key: np.ndarray, owner: np.ndarray, p: Parameters) -> np.ndarray:
+    """Whether the string of each key comes twice in its text."""
+    # strings that could be a key's are no greater than their neighbours
+    low = np.ones(len(gram), bool)
+    low[1:] &= gram[1:] <= gram[:-1]
+    low[:-1] &= gram[:-1] <= gram[1:]
+    low[offsets[offsets < len(gram)]] = True  # a text's first and last
+    ends = offsets - p.gram
+    low[ends[(ends >= 0) & (ends < len(gram))]] = True
+    own = np.flatnonzero(low & (text[: len(gram)] == text[p.gram - 1 :]))
+    salted = lambda k, o: C.mix64(k + o.astype(np.uint64) * np.uint64(C.POLY))
+    names = np.sort(salted(gram[own], text[own]))
+    twice = np.unique(names[1:][names[1:] == names[:-1]])
+    wanted = salted(key, owner)
+    return twice[np.minimum(np.searchsorted(twice, wanted), len(twice) - 1)] == wanted if len(twice) else np.zeros(len(key), bool)
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters, count: bool = True) -> tuple[np.ndarray, ...]:
+    """(text number, key, two content hashes, first window, last window, whether the key's string comes twice in the
+    text, which is False throughout unless `count`)."""
     if len(data) < p.depth:
         return tuple(np.zeros(0, np.int64) for _ in range(7))
     roll = C.Rolling(data)
@@ -82,19 +104,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, p: Parameters) -> tuple[np.nd
     stop = offsets[text[first] + 1] - p.depth
     last = np.minimum(last, stop)
     owner, key = text[first], least[first]
-    # strings that could be a key's are no greater than their neighbours
-    low = np.ones(len(gram), bool)
-    low[1:] &= gram[1:] <= gram[:-1]
-    low[:-1] &= gram[:-1] <= gram[1:]
-    low[offsets[offsets < len(gram)]] = True  # a text's first and last
-    ends = offsets - p.gram
-    low[ends[(ends >= 0) & (ends < len(gram))]] = True
-    own = np.flatnonzero(low & (text[: len(gram)] == text[p.gram - 1 :]))
-    salted = lambda k, o: C.mix64(k + o.astype(np.uint64) * np.uint64(C.POLY))
-    names = np.sort(salted(gram[own], text[own]))
-    twice = np.unique(names[1:][names[1:] == names[:-1]])
-    wanted = salted(key, owner)
-    again = twice[np.minimum(np.searchsorted(twice, wanted), len(twice) - 1)] == wanted if len(twice) else np.zeros(len(first), bool)
+    again = comes_twice(gram, text, offsets, key, owner, p) if count else np.zeros(len(first), bool)
     plain = constant[first]
     end = np.where(plain, first, last) + p.depth
     content, check = roll.spans(first, end), C.Rolling(data, second=True).spans(first, end)
@@ -119,14 +129,14 @@ def _same_doc(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
-def all_runs(docs: DataFrame, p: Parameters) -> DataFrame:
-    """(doc_id, th, key, content, check, lo, hi, twice) for the runs of every text."""
+def all_runs(docs: DataFrame, p: Parameters, count: bool = True) -> DataFrame:
+    """(doc_id, th, key, content, check, lo, hi, twice) for the runs of every text; twice as of runs_of."""
     rows = _keyed(docs)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("th", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("key", "content", "check")), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("twice", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.sliced(batches, "text"):
-            owner, key, content, check, lo, hi, twice = runs_of(*C.utf8_view(batch.column(2)), p)
+        for batch in C.sliced(batches, "text", RUN_BYTES):
+            owner, key, content, check, lo, hi, twice = runs_of(*C.utf8_view(batch.column(2)), p, count)
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(content), pa.array(check), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(twice.astype(bool))], names=["doc_id", "th", "key", "content", "check", "lo", "hi", "twice"])
 
@@ -246,7 +256,7 @@ def marks(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     kinds = all_runs(docs, p).groupBy("key").agg(F.count("*").alias("n"), *(f(c).alias(f"{a}_{c}") for c in ("content", "check") for a, f in (("least", F.min), ("most", F.max))), F.max("twice").alias("again"))
     one = (F.col("least_content") == F.col("most_content")) & (F.col("least_check") == F.col("most_check"))
     kinds = kinds.where("n > 1 OR again").select("key", ((F.col("n") > 1) & one).alias("whole"))
-    found = C.written(all_runs(docs, p).drop("twice").join(kinds, "key"), "repeat-runs")
+    found = C.written(all_runs(docs, p, False).drop("twice").join(kinds, "key"), "repeat-runs")
     mixed = found.where("NOT whole").groupBy(*NAME).agg(F.count("*").alias("n"), F.min(F.struct("th", "doc_id", "lo", "hi")).alias("r"))
     mixed = C.written(mixed.select(*NAME, (F.col("n") > 1).alias("many"), F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "r.lo", "r.hi"), "mixed-runs")
     strings = C.written(_strings(docs, mixed, p), "mixed-strings")
