@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing. DataFrame functions only.
 
 Texts become words; a window is `window` consecutive words of an item, or all words of a shorter item. Of every
-`window - gram + 1` consecutive hashes of `gram` words the least is kept, in documents and items alike, so that
-any shared window has a kept hash at the same place in both. Documents' kept hashes are joined with the distinct
+`window - gram + 1` consecutive hashes of `gram` words the least is kept (of equal ones each), in documents and items
+alike, so that any shared window has a kept hash at the same place in both. Documents' kept hashes are joined with the distinct
 kept hashes of the items' windows; each hit is extended to the windows of the document that cover it, and those
 are joined with the items' windows word for word. Items of fewer than `window` words are looked up by hashes of
 exactly their length, at every position.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import _common as C
 
-#: Fixed value: what words are made of, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between words, after A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,7 +41,9 @@ class Parameters:
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.translate(text, CAPITALS, SMALL), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text, of null none. Splitting takes a tenth of the time of extracting every match."""
+    parts = F.split(F.translate(text, CAPITALS, SMALL), BETWEEN)
+    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
 def let(value: Column, use) -> Column:
@@ -49,36 +51,47 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def gram_hashes(words: Column, n: int) -> Column:
-    """A hash of the n words from each position on (array; empty if there are fewer words)."""
-    size = F.size(words)
-    rolled = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return F.when(size >= n, rolled).otherwise(F.array().cast("array<bigint>"))
+def shifted(values: Column, by: Column | int) -> Column:
+    """The values from the one `by` places on."""
+    return F.slice(values, F.lit(by) + 1, F.greatest(F.size(values) - by, F.lit(0)))
 
 
-def all_hashes(text: Column, n: int) -> Column:
-    return let(words_of(text), lambda words: gram_hashes(words, n))
+def rolled(values: Column, n: int, use) -> Column:
+    """use() over every n consecutive values (array; empty if there are fewer). Results for 2, 4, 8.. values are made of
+    those for half as many, in whole arrays, so that a place costs log n calls; use() must bear a null on its right."""
+
+    def go(power: Column, size: int, done: Column | None, have: int) -> Column:
+        if n & size:
+            done = power if done is None else F.zip_with(done, shifted(power, have), use)
+            have += size
+        if 2 * size > n:
+            return F.slice(done, 1, F.greatest(F.size(done) - (n - 1), F.lit(0)))
+        return let(F.zip_with(power, shifted(power, size), use), lambda x: go(x, 2 * size, done, have))
+
+    return let(values, lambda x: go(x, 1, None, 0))
 
 
-def kept_places(hashes: Column, span: int) -> Column:
-    """Places (from 1) of the least hash, leftmost of equals, of every `span` consecutive hashes, each once."""
-    n = F.size(hashes)
+def gram_hashes(words: Column, n: int) -> Column:
+    """A hash of the n words from each position on (array; empty if there are fewer words)."""
+    return rolled(F.transform(words, lambda w: F.xxhash64(w)), n, lambda a, b: F.xxhash64(a, b))
 
-    def place(i: Column) -> Column:
-        return let(F.slice(hashes, i, span), lambda x: (F.array_position(x, F.array_min(x)) + i - 1).cast("int"))
 
-    places = F.transform(F.sequence(F.lit(1), n - (span - 1)), place)
-    return F.when(n >= span, F.array_distinct(places)).otherwise(F.array().cast("array<int>"))
+def all_hashes(text: Column, n: int) -> Column:
+    return gram_hashes(words_of(text), n)
 
 
-def fingerprints(text: Column, p: Parameters) -> Column:
-    """array<struct<at, hash>>: the kept hashes of a text."""
+def kept_hashes(hashes: Column, span: int) -> Column:
+    """The hashes that are the least of any `span` consecutive ones, at their places, and nulls at the others."""
+    # a hash is no less than the least of the spans that cover it, and is kept if it equals the greatest of these
+    beyond = F.array_repeat(F.lit(None).cast("bigint"), span - 1)
+    least = rolled(hashes, span, lambda a, b: F.least(a, b))
+    most = rolled(F.concat(beyond, least, beyond), span, lambda a, b: F.greatest(a, b))
+    return F.zip_with(hashes, most, lambda h, x: F.when(h == x, h))
 
-    def kept(hashes: Column) -> Column:
-        at = kept_places(hashes, p.window - p.gram + 1)
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.element_at(hashes, i).alias("hash")))
 
-    return let(words_of(text), lambda words: let(gram_hashes(words, p.gram), kept))
+def fingerprints(text: Column, p: Parameters) -> Column:
+    """array<bigint>: the kept hashes of a text at their places, and nulls at the others."""
+    return let(gram_hashes(words_of(text), p.gram), lambda hashes: kept_hashes(hashes, p.window - p.gram + 1))
 
 
 def windows_of(text: Column, p: Parameters) -> Column:
@@ -109,12 +122,12 @@ def found_places(docs: DataFrame, windows: DataFrame, p: Parameters) -> DataFram
     span = p.window - p.gram + 1
     full = windows.where(F.col("n") == p.window).select(F.array_min(gram_hashes(F.col("window"), p.gram)).alias("hash")).distinct()
     full = C.written(full, "item-hashes")
-    rows = docs.select("_doc", F.explode(fingerprints(F.col("_text"), p)).alias("h")).select("_doc", "h.at", "h.hash")
+    rows = docs.select("_doc", F.posexplode(fingerprints(F.col("_text"), p)).alias("at", "hash")).select("_doc", (F.col("at") + 1).alias("at"), "hash")
     # the windows that cover a kept hash begin at most span - 1 words before it
     near = rows.join(_sent(full, p), "hash", "left_semi").select("_doc", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - span + 1), "at")).alias("start"), F.lit(p.window).alias("n"))
     short = windows.where(F.col("n") < p.window)
     for (n,) in sorted(short.select("n").distinct().collect()):  # fewer than `window` lengths
-        own = C.written(short.where(F.col("n") == n).select(F.xxhash64("window").alias("hash")).distinct(), "short-items")
+        own = C.written(short.where(F.col("n") == n).select(F.element_at(gram_hashes(F.col("window"), n), 1).alias("hash")).distinct(), "short-items")
         at = docs.select("_doc", F.posexplode(all_hashes(F.col("_text"), n)).alias("at", "hash"))
         near = near.unionByName(at.join(_sent(own, p), "hash", "left_semi").select("_doc", (F.col("at") + 1).alias("start"), F.lit(n).alias("n")))
     return near
@@ -154,8 +167,7 @@ def report(docs: DataFrame, items: DataFrame, p: Parameters = Parameters()) -> D
     spans = hits.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("_spans"))
     marks = spans.select("_doc", F.aggregate(F.transform("_spans", span), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), add, lambda a: a["n"]).alias("_n_hit"))
     doc = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
-    n_words = F.coalesce(F.regexp_count(F.translate("text", CAPITALS, SMALL), F.lit(WORD)), F.lit(0))
-    rows = docs.select("doc_id", doc.alias("_doc"), n_words.cast("long").alias("n_words"))
+    rows = docs.select("doc_id", doc.alias("_doc"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("n_words"))
     rows = rows.join(marks.join(found, "_doc", "left"), "_doc", "left")
     none = F.array().cast("array<string>")
     return rows.select("doc_id", "n_words", F.coalesce("_n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("_items", none)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("_items", none), ","), 256).alias("items_sha256"), (F.coalesce("_n_hit", F.lit(0)) > 0).alias("contaminated"))
