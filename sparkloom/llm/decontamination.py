@@ -11,8 +11,7 @@ Scale: documents are scanned where they lie; a kept hash leaves a task only if a
 are broadcast up to `most_broadcast` bytes (summed first); beyond, both sides are shuffled by hash. A place of
 a document meets at most one row in either join, however many items share a hash or a window, so nothing
 multiplies; items are told by the sets of them that share windows, each once for a document. Places are gathered by
-document, bounded by its own length, and stored; where that table is small enough for Spark's broadcast threshold, the
-texts stay where they lie, else they are shuffled to it.
+document, bounded by its own length, and stored; texts are shuffled to them at every size.
 
 Edges: null and empty texts have no words, are not contaminated and have the hash of an empty list; items without
 words mark nothing; repeated documents are judged alike; repeated item_ids count once, and an item without an id marks words but is
@@ -142,8 +141,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, p: Parameters = Parameters(
     windows = C.written(item_windows(items, p), "item-windows")
     places = found_places(text, windows, p)
     places = places.groupBy("_doc").agg(F.collect_set(F.struct("start", "n")).alias("_places"))
-    places = C.written(places, "places")  # its size is known from here on
-    back = text.join(places, "_doc").dropDuplicates(["_doc"])
+    places = C.written(places, "places")
+    back = text.join(places.hint("merge"), "_doc").dropDuplicates(["_doc"])  # places grow with the corpus
 
     def windows_at(words: Column) -> Column:
         cut = F.transform("_places", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice(words, x["start"], x["n"]).alias("window")))
