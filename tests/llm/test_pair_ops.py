@@ -429,3 +429,23 @@ def test_url_model_reads_the_whole_url(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_registered_sql(spark, sf, name):
     assert spark_rows(queries()[name](spark, sf)) == duckdb_rows(oracle_sql()[name], sf)
+
+
+def test_kept_hashes_are_the_least_of_their_spans(spark):
+    rng = np.random.default_rng(5)
+    lists = [[int(x) for x in rng.integers(-9, 9, n)] for n in (*range(12), 200)]
+    rows = spark.createDataFrame([(x,) for x in lists], "h array<bigint>")
+    for span in (1, 2, 5, 7):
+        for h, got in rows.select("h", decontamination.kept_hashes(F.col("h"), span)).collect():
+            least = {i: min(h[i : i + span]) for i in range(len(h) - span + 1)}
+            kept = {j for i, x in least.items() for j in range(i, i + span) if h[j] == x}
+            assert {j: x for j, x in enumerate(got) if x is not None} == {j: h[j] for j in kept}
+
+
+def test_decontamination_of_a_text_of_several_megabytes(spark):
+    leak = " ".join(f"leak{i}" for i in range(12))
+    text = " ".join(f"w{i}" for i in range(300_000)) + " " + leak + " " + " ".join(f"v{i}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, text), (2, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", leak)], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.report(docs, items).collect()}
+    assert got == {1: (600_012, 12, 1), 2: (1, 0, 0)}
